@@ -48,3 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
 def hashed(*cols: Column | str, seed: int = 0) -> Column:
     """Seeded 64-bit hash that depends on the values alone."""
     return F.xxhash64(F.lit(seed), *cols)
+
+
+def slices(batch, column: int, limit: int = 8 << 20):
+    """Cut an Arrow record batch so that ``column``'s texts of a piece stay near ``limit`` bytes.
+
+    A single longer text is a piece of its own. Bounds what one step holds.
+    """
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield batch.slice(start)

@@ -6,16 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
+from quarry.llm.line_rules import line_rules, line_rules_sql
+from quarry.llm.piece_codec import digests, encode_decode
 from quarry.llm.token_counts import token_counts
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
+    "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": line_rules_sql(),
+}
