@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
 from quarry.llm.line_rules import line_rules, line_rules_sql
+from quarry.llm.mixing import mix_sources
 from quarry.llm.piece_codec import digests, encode_decode
 from quarry.llm.token_counts import token_counts
 
@@ -16,6 +17,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
