@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.line_rules import line_rules, line_rules_sql
 from quarry.llm.mixing import mix_sources
+from quarry.llm.ordinal import Model, grade_texts, train
 from quarry.llm.piece_codec import digests, encode_decode
 from quarry.llm.token_counts import token_counts
 
@@ -25,6 +27,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
+def rating() -> Column:
+    """Graded rating of a labelled document: one point for quality, one for not being toxic."""
+    return F.col("quality") + 1 - F.col("toxic")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> Model:
+    return train(docs, labels, rating(), 3)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return grade_texts(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,6 +51,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 
