@@ -11,9 +11,15 @@ from quarry.llm.line_rules import line_rules, line_rules_sql
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ordinal import Model, grade_texts, train
 from quarry.llm.piece_codec import digests, encode_decode
+from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_counts import token_counts
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digests(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -48,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
