@@ -6,15 +6,41 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import hashed, scratch, table
 from quarry.llm.line_rules import line_rules, line_rules_sql
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ordinal import Model, grade_texts, train
 from quarry.llm.piece_codec import digests, encode_decode
+from quarry.llm.shards import ShardStore
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_counts import token_counts
 
 
+#: Arrivals that the sharding query splits ``documents`` into, by hash of the id.
+ARRIVALS = 4
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append ``documents`` in arrivals, compact, and tell where each row lies."""
+    docs = table(spark, sf_dir, "documents")
+    store = ShardStore(spark, scratch(spark, "shards"), keep_versions=1)
+    part = F.pmod(hashed("doc_id", seed=1), F.lit(ARRIVALS))
+    for k in range(ARRIVALS):
+        store.append(docs.filter(part == k))
+    store.compact()
+    store.vacuum()
+    manifest = store.manifest()
+    entries = spark.createDataFrame(
+        [(s.path, i, s.level, s.rows, s.bytes) for i, s in enumerate(manifest.shards)],
+        "shard string, shard_id int, level int, shard_rows long, shard_bytes long",
+    )
+    return (
+        store.located(["doc_id", "n_chars"])
+        .join(entries, "shard")
+        .select("doc_id", "n_chars", "shard_id", "level", "shard_rows", "shard_bytes", F.lit(manifest.version).alias("version"))
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_mixing": op6_mixing,
