@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import hashed, scratch, table
 from quarry.llm.line_rules import line_rules, line_rules_sql
 from quarry.llm.mixing import mix_sources
+from quarry.llm.ngram_join import ngram_join
 from quarry.llm.ordinal import Model, grade_texts, train
 from quarry.llm.piece_codec import digests, encode_decode
 from quarry.llm.shards import ShardStore
@@ -51,6 +52,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).drop("_row")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
