@@ -99,9 +99,12 @@ def neighbours(seeds: DataFrame, rows: DataFrame, threshold: float, k: int, key:
             x = np.array([np.asarray(v, np.float64) for v in batch["v"]])
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
             s = q @ x.T
-            ids = batch["key"].to_numpy()
+            ids = batch["key"].tolist()
             seed, row = np.nonzero(s >= threshold)
-            yield pd.DataFrame({key: ids[row], "seed": [names[i] for i in seed], "sim": s[seed, row]})
+            found = pd.DataFrame({"sim": s[seed, row]})
+            found.insert(0, key, pd.Series([ids[i] for i in row], dtype=object))
+            found.insert(1, "seed", pd.Series([names[i] for i in seed], dtype=object))
+            yield found
 
     each = rows.join(F.broadcast(seeds.select(key)), key, "left_anti").select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(
         score, f"{key} {kind}, seed {kind}, sim double"

@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 
 def ingest_stream(spark: SparkSession, folder: str, table: str, checkpoint: str):
-    """Files that arrive below ``folder`` are hashed and upserted into the Parquet folder ``table``.
+    """Files that arrive below ``folder`` are hashed and added to the Parquet folder ``table``.
 
-    One micro-batch replaces the rows of its paths; unchanged files are left out.
+    The source hands over each file once; a micro-batch is one partition, so that a
+    batch that runs again writes the same rows. ``current_files`` reads the result.
     """
     source = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .load(folder)
         .select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"))
     )
 
-    def upsert(batch: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         out = f"{table}/batch={number}"
         batch.dropDuplicates(["path"]).write.mode("overwrite").parquet(out)
 
-    return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_files(spark: SparkSession, table: str) -> DataFrame:
