@@ -12,7 +12,8 @@ The driver handles one small entry per shard, never rows; all files are touched
 through Spark's and Hadoop's file systems. A lost executor repeats its task: files
 count only when a manifest names them.
 
-Defined results: appending no rows commits nothing; columns and rows are stored as
+Defined results: appending no rows commits no shard, on an empty store its schema
+alone; reading a store without shards gives no rows; columns and rows are stored as
 they come, repeated rows and nulls included; all appends must have one schema.
 """
 
@@ -142,7 +143,7 @@ class ShardStore:
         folder = f"data/{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", max_rows).parquet(f"{self.path}/{folder}")
         new = self._written(folder, 0, base.version + 1)
-        return self._commit(base, base.schema or schema, [*base.shards, *new]) if new else base
+        return self._commit(base, base.schema or schema, [*base.shards, *new]) if new or not base.schema else base
 
     def tier(self, shard: Shard) -> int:
         """Shards of one tier differ in size by less than the factor ``fan_in``."""
@@ -189,12 +190,16 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of a committed version."""
         manifest = self.manifest(version)
+        if not manifest.schema:
+            raise ValueError("nothing has been appended yet")
         if not manifest.shards:
-            raise ValueError("the store is empty")
+            return self.spark.createDataFrame([], self._schema(manifest))
         return self.spark.read.schema(self._schema(manifest)).parquet(*(f"{self.path}/{s.path}" for s in manifest.shards))
 
     def located(self, columns: list[str], version: int | None = None) -> DataFrame:
         """``columns`` of every row with the shard (path below the store) it lies in."""
+        if not self.manifest(version).shards:
+            return self.read(version).select(*columns, F.lit("").alias("shard"))
         rows = self.read(version).select(*columns, F.col("_metadata.file_path").alias("_file"))
         return rows.select(*columns, F.regexp_extract("_file", r"(data/[^/]+/[^/]+)$", 1).alias("shard"))
 
