@@ -217,3 +217,20 @@ def balanced_json(text: str) -> list[dict]:
             items = value if isinstance(value, list) else value.get("findings", [value]) if isinstance(value, dict) else []
             return [x for x in items if isinstance(x, dict)]
     return []
+
+
+def taint_steps(paths: DataFrame, key: str, limit: int = 300) -> DataFrame:
+    """(key, steps): each node of ``path`` with its hop and note as one text."""
+    each = F.arrays_zip("path", "hops", "notes")
+    note = lambda x: F.substring(F.concat_ws(" — ", F.when(x["hops"] != "", x["hops"]), F.when(x["notes"] != "", x["notes"])), 1, limit)
+    return paths.select(key, F.transform(each, lambda x: F.struct(x["path"].alias("node"), note(x).alias("note"))).alias("steps"))
+
+
+def root_causes(findings: DataFrame, by: str) -> DataFrame:
+    """Fallback causes: per type its sorted files and the number of findings."""
+    return findings.groupBy(by).agg(F.array_sort(F.collect_set("file")).alias("affected_files"), F.count("*").alias("findings"))
+
+
+def backend(memory_gb: Column) -> Column:
+    """Embedding backend by memory."""
+    return F.when(memory_gb >= 40, "local_gpu").when(memory_gb >= 16, "local_cpu").otherwise("hash")

@@ -146,3 +146,18 @@ def batches(df: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
     """Adds ``batch``: consecutive runs of ``size`` rows within ``by``."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+
+
+def match_qualified(calls: DataFrame, models: DataFrame, name: str = "name") -> DataFrame:
+    """Calls matched with the models whose pattern is qualified, that is holds a dot."""
+    core = call_core(F.col("pattern"))
+    held = models.select("pattern", "sink_type", core.alias("_core")).filter(F.contains("_core", F.lit("."))).distinct()
+    return calls.join(F.broadcast(held), segment_match(F.col(name), F.col("_core"))).drop("_core").distinct()
+
+
+def layered(*layers: Column) -> Column:
+    """Maps laid over each other, the last that has a key wins."""
+    out = layers[0]
+    for layer in layers[1:]:
+        out = F.map_zip_with(out, layer, lambda _, old, new: F.coalesce(new, old))
+    return out

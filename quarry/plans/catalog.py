@@ -329,14 +329,14 @@ def c15_validation(spark, d):
 own AS (SELECT file, name, min(id) AS own FROM s GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
 every AS (SELECT name, min(id) AS one FROM s GROUP BY 1 HAVING count(DISTINCT id) = 1),
 c AS (SELECT p_partkey AS src, p_brand AS file, split_part(p_name, ' ', 2) AS name FROM part)
-SELECT src, coalesce(own, one) AS dst FROM c LEFT JOIN own USING (file, name) LEFT JOIN every USING (name)"""
+SELECT src, coalesce(own, one, -1) AS dst FROM c LEFT JOIN own USING (file, name) LEFT JOIN every USING (name)"""
 )
 def d2_resolve_calls(spark, d):
     part = table(spark, d, "part")
     word = lambda k: F.coalesce(F.get(F.split("p_name", " "), k), F.lit(""))
     symbols = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), word(0).alias("name"))
     calls = part.select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("file"), word(1).alias("name"))
-    return g.resolve_calls(calls, symbols).select("src", "dst")
+    return g.resolve_calls(calls, symbols).select("src", F.coalesce("dst", F.lit(-1)).cast("long").alias("dst"))
 
 
 _CALLS_SQL = r"""SELECT DISTINCT s.id AS src, n.dst, 'calls' AS type FROM
@@ -978,3 +978,112 @@ def m3_answered(spark, d):
     asked = events.groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("asked"))
     got = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").alias("answered"), F.col("event_type").alias("body"))
     return answered(asked, got, "86400 seconds")
+
+
+# -- further operators -----------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey, 'hot.gear' AS pattern, 'first' AS sink_type FROM part WHERE contains('.' || replace(p_name, ' ', '.') || '.', '.hot.gear.')"""
+)
+def c7_qualified_models(spark, d):
+    models = spark.createDataFrame([("hot.gear", "first"), ("ring", "second")], "pattern string, sink_type string")
+    calls = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(".")).alias("name"))
+    return pf.match_qualified(calls, models).select("p_partkey", "pattern", "sink_type")
+
+
+@query(
+    """SELECT * FROM (VALUES ('python', 'request.GET,request.POST,request.args,request.form', 'escape('), ('javascript', 'req.body,req.query', 'validator.escape')) v(language, sources, sanitizers)"""
+)
+def c12_taint_patterns(spark, d):
+    frames = seeds.frameworks(spark)
+    found = frames.filter(F.col("id").isin("flask", "django", "express")).select("id")
+    return pf.overlays(frames, found).select("language", flat("sources").alias("sources"), flat("sanitizers").alias("sanitizers"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'paranoid' WHEN c_mktsegment = 'BUILDING' THEN 'audit' ELSE 'fast' END AS mode,
+CASE WHEN c_mktsegment = 'BUILDING' THEN '3' ELSE '2' END AS hops FROM customer"""
+)
+def c16_config_layers(spark, d):
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    base = F.create_map(F.lit("mode"), F.lit("fast"), F.lit("hops"), F.lit("2"))
+    group = F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("mode"), F.lit("audit"), F.lit("hops"), F.lit("3"))).otherwise(empty)
+    own = F.when(F.col("c_custkey") % 5 == 0, F.create_map(F.lit("mode"), F.lit("paranoid"))).otherwise(empty)
+    config = pf.layered(base, group, own)
+    return table(spark, d, "customer").select("c_custkey", config["mode"].alias("mode"), config["hops"].alias("hops"))
+
+
+@query("""SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'go' END AS language, CASE lang WHEN 'en' THEN 4 WHEN 'fr' THEN 2 ELSE 0 END AS sinks FROM documents""")
+def d1_language_join(spark, d):
+    named = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "python").when(F.col("lang") == "fr", "go").alias("language"))
+    sizes = seeds.languages(spark).select(F.col("id").alias("language"), F.size("sink_patterns").alias("sinks"))
+    return named.join(F.broadcast(sizes), "language", "left").select("id", "language", F.coalesce("sinks", F.lit(0)).alias("sinks"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn AS ord, turn * 10 AS line_start, turn * 10 + 14 AS line_end FROM conversations)
+SELECT finding, node FROM (SELECT f.conv_id AS finding, c.ord AS node, row_number() OVER (PARTITION BY f.conv_id ORDER BY line_end - line_start, c.ord) AS r
+FROM (SELECT DISTINCT conv_id FROM conversations) f JOIN c ON c.conv_id = f.conv_id AND 12 BETWEEN line_start AND line_end) WHERE r = 1"""
+)
+def d7_finding_chunk(spark, d):
+    conv = table(spark, d, "conversations")
+    nodes = conv.select(F.col("conv_id").alias("file"), F.col("turn").alias("id"), F.lit("x").alias("name"), (F.col("turn") * 10).alias("line_start"), (F.col("turn") * 10 + 14).alias("line_end"))
+    found = conv.select(F.col("conv_id").alias("finding"), F.col("conv_id").alias("file"), F.lit(12).alias("line"), F.lit(None).cast("string").alias("function")).distinct()
+    return fo.locate(found, nodes)
+
+
+@query(
+    f"""WITH {SQL}, p AS (SELECT DISTINCT src, dst FROM edges), m AS (
+  SELECT src, dst, string_agg(DISTINCT var, ', ' ORDER BY var) || ' (' || CASE WHEN bool_and(sanitized) THEN 'sanitized' ELSE 'unsanitized' END || ')' AS t FROM raw_edges WHERE type = 'data_flow' GROUP BY 1, 2
+  UNION ALL SELECT src, dst, 'only ' || string_agg(DISTINCT condition, ' | ' ORDER BY condition) FROM raw_edges WHERE type = 'control_flow' GROUP BY 1, 2)
+SELECT p.src || '>' || p.dst AS key, coalesce(string_agg(t, ' · ' ORDER BY t), '') AS label FROM p LEFT JOIN m ON m.src = p.src AND m.dst = p.dst GROUP BY 1"""
+)
+def d12_hop_labels(spark, d):
+    edges = g.merge_edges(roles.raw_edges(spark, d))
+    paths = edges.select("src", "dst").distinct().select(F.concat_ws(">", "src", "dst").alias("key"), F.array("src", "dst").alias("path"))
+    return g.hop_labels(paths, edges).select("key", F.get("hops", 0).alias("label"))
+
+
+@query(
+    """SELECT conv_id, string_agg(turn || ':' || substring(role || ' — ' || text, 1, 300), chr(10) ORDER BY turn) AS steps FROM conversations GROUP BY conv_id"""
+)
+def f15_taint_steps(spark, d):
+    paths = table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x).alias("s")
+    )
+    steps = fo.taint_steps(paths.select("conv_id", F.transform("s", lambda x: x["role"]).alias("hops"), F.transform("s", lambda x: x["text"]).alias("notes"), F.transform("s", lambda x: x["turn"]).alias("path")), "conv_id")
+    text = F.transform(F.array_sort("steps"), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["note"]))
+    return steps.select("conv_id", F.array_join(text, "\n").alias("steps"))
+
+
+@query(
+    """SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS findings FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+)
+def j2_cache_store(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
+    old = docs.filter("key % 3 = 0").withColumn("findings", F.lit("old"))
+    return stores.upsert(old, docs.filter("key % 2 = 0").withColumn("findings", F.lit("new")), "key")
+
+
+@query("""SELECT doc_id AS id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'confirmed' ELSE 'needs_review' END AS status FROM documents""")
+def j11_recheck(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("needs_review").alias("status"))
+    checked = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"), F.lit("confirmed").alias("status"))
+    return fo.replace_one(rows, checked).withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT lang AS type, string_agg(DISTINCT source, ',' ORDER BY source) AS affected_files, count(*) AS findings FROM documents GROUP BY lang")
+def l5_root_causes(spark, d):
+    rows = table(spark, d, "documents").select(F.col("lang").alias("type"), F.col("source").alias("file"))
+    return fo.root_causes(rows, "type").select("type", flat("affected_files").alias("affected_files"), "findings")
+
+
+@query("""SELECT '{"doc_id":' || doc_id || ',"source":"' || source || '","n_chars":' || n_chars || '}' AS json FROM documents""")
+def l7_json_export(spark, d):
+    return fo.to_json(table(spark, d, "documents").select("doc_id", "source", "n_chars"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'local_gpu' WHEN p_size >= 16 THEN 'local_cpu' ELSE 'hash' END AS backend FROM part""")
+def l10_backend(spark, d):
+    return table(spark, d, "part").select("p_partkey", fo.backend(F.col("p_size")).alias("backend"))
