@@ -239,10 +239,15 @@ def train(
         .mapInArrow(extract, f"_id {id_type}, _grade int, b array<int>, v array<float>")
         .toArrow()
     )
-    rows = sorted(
-        ((i, g, b, v) for i, g, b, v in zip(*(got.column(k).to_pylist() for k in range(4)))), key=lambda r: (r[0], r[1], r[2])
-    )
-    return fit([(g, np.array(b, np.int32), np.array(v, np.float32)) for _, g, b, v in rows], grades)
+    got = got.combine_chunks()
+    lists = [got.column(k).combine_chunks() for k in (2, 3)] if got.num_rows else []
+    ids, rated = got.column(0).to_pylist(), got.column(1).to_pylist()
+
+    def part(k: int, i: int) -> np.ndarray:
+        return lists[k][i].values.to_numpy()
+
+    order = sorted(range(got.num_rows), key=lambda i: (ids[i], rated[i], part(0, i).tobytes()))
+    return fit([(rated[i], part(0, i), part(1, i)) for i in order], grades)
 
 
 def grade_texts(
