@@ -36,24 +36,26 @@ BITS = 28
 
 
 def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, part, vec): the vector's bytes as float64, null where it can't link."""
+    """(id, part, vec): the vector's bytes as they come, float32 or float64; null where it can't link."""
     for batch in batches:
+        kind = np.float32 if batch.column(1).type.value_type == pa.float32() else np.float64
         vecs, parts = [], []
         for label, values in zip(batch.column(2).to_pylist(), batch.column(1)):
             vec = None
             if label is not None and values.is_valid and len(values.values) and not values.values.null_count:
-                x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                x = values.values.to_numpy(zero_copy_only=False).astype(kind)
                 if np.isfinite(x).all() and x.any():
                     vec = x
-            vecs.append(None if vec is None else (vec + 0.0).astype("<f8").tobytes())
+            vecs.append(None if vec is None else (vec + kind(0)).tobytes())
             parts.append(None if vec is None else f"{len(vec)}:{label}")
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(parts, pa.string()), pa.array(vecs, pa.binary())], ["_id", "part", "vec"]
         )
 
 
-def matrix(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+def matrix(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Float64 rows of length one."""
+    x = np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(len(blobs), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -67,7 +69,7 @@ def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), top.ravel()
 
 
-def local_join(keys: int, k: int):
+def local_join(keys: int, k: int, kind: str):
     """Compare the members of each group with each other; each keeps its ``k`` best there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +77,7 @@ def local_join(keys: int, k: int):
             if len(rows) < 2:
                 continue
             v = np.array([r[keys] for r in rows], np.int64)
-            x = matrix([r[keys + 1] for r in rows]).astype(np.float32)
+            x = matrix([r[keys + 1] for r in rows], kind).astype(np.float32)
             sims = x @ x.T
             a, b = best(sims, k)
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +93,7 @@ def trees_for(threshold: float, recall: float, depth: int) -> int:
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - same))) if same < 1 else 4
 
 
-def leaves(trees: int, seed: int):
+def leaves(trees: int, seed: int, kind: str):
     """(leaf, v) rows: the sign code of each class in every tree, as deep as its part needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +106,11 @@ def leaves(trees: int, seed: int):
             sizes = np.array(list(map(len, blobs)))
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                dim = size // 8
+                dim = size // np.dtype(kind).itemsize
                 if dim not in planes:
                     draw = np.random.Generator(np.random.PCG64([seed, dim]))
                     planes[dim] = draw.standard_normal((trees, dim, BITS))
-                x = matrix([blobs[i] for i in at])
+                x = matrix([blobs[i] for i in at], kind)
                 for t in range(trees):
                     signs = (x @ planes[dim][t] > 0).astype(np.int64)
                     code = (signs << np.arange(BITS)).cumsum(axis=1)
@@ -127,14 +129,14 @@ def top(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def descend(lists: DataFrame, vectors: DataFrame, k: int, max_rounds: int) -> DataFrame:
+def descend(lists: DataFrame, vectors: DataFrame, k: int, max_rounds: int, kind: str) -> DataFrame:
     """Neighbours-of-neighbours rounds until the lists gain less than a thousandth."""
     total = None
     for _ in range(max_rounds):
         both = lists.union(lists.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
         around = top(both, 2 * k).select(F.col("v").alias("u"), "w")
         members = around.join(vectors, around["w"] == vectors["v"]).select("u", "w", "vec")
-        found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3), "v long, w long, sim float")
+        found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3, kind), "v long, w long, sim float")
         lists = cut(top(lists.union(found), k))
         now = lists.agg(F.sum("sim")).first()[0] or 0.0
         if total is not None and now - total <= 0.001 * abs(total):
@@ -143,11 +145,11 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int, max_rounds: int) -> Da
     return lists
 
 
-def near_pairs(threshold: float):
+def near_pairs(threshold: float, kind: str):
     def pairs(first: list[tuple], second: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-        x = matrix([r[2] for r in first])
+        x = matrix([r[2] for r in first], kind)
         if second:
-            hit = x @ matrix([r[2] for r in second]).T >= threshold
+            hit = x @ matrix([r[2] for r in second], kind).T >= threshold
             for i in range(len(first)):
                 yield i, np.flatnonzero(hit[i]) + len(first)
         else:
@@ -158,7 +160,7 @@ def near_pairs(threshold: float):
     return pairs
 
 
-def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int) -> float:
+def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int, kind: str) -> float:
     """Share of the sampled classes' true links that ``linked`` (v, links) has."""
     sample = classes.orderBy(hashed("v", seed=3), "v").limit(size).select("v", "part", "vec")
     held = [(r["v"], r["part"], bytes(r["vec"])) for r in sample.collect()]
@@ -169,7 +171,7 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int) ->
         by_part: dict[str, list[tuple[int, bytes]]] = {}
         for v, part, vec in held:
             by_part.setdefault(part, []).append((v, vec))
-        ready = {p: (np.array([v for v, _ in x], np.int64), matrix([b for _, b in x])) for p, x in by_part.items()}
+        ready = {p: (np.array([v for v, _ in x], np.int64), matrix([b for _, b in x], kind)) for p, x in by_part.items()}
         for batch in batches:
             v = batch.column(0).to_numpy(zero_copy_only=False)
             parts = np.array(batch.column(1).to_pylist(), object)
@@ -178,7 +180,7 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int) ->
             for p, (own, x) in ready.items():
                 at = np.flatnonzero(parts == p)
                 if len(at):
-                    hit = (x @ matrix([blobs[i] for i in at]).T >= threshold) & (own[:, None] != v[at][None, :])
+                    hit = (x @ matrix([blobs[i] for i in at], kind).T >= threshold) & (own[:, None] != v[at][None, :])
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hit @ copies[at])], ["v", "true_links"])
 
     truth = classes.select("v", "part", "copies", "vec").mapInArrow(run, "v long, true_links long")
@@ -206,6 +208,7 @@ def embedding_dedup(
     label_col: str = "label",
 ) -> DataFrame:
     """(id, n_links, component_id, kept, audit_recall) per row of ``vectors``."""
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     slim = vectors.select(
         F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"), F.col(label_col).cast("string").alias("_l")
     )
@@ -223,8 +226,8 @@ def embedding_dedup(
     trees = trees_for(threshold, recall, depth)
     bare = classes.select("v", "vec")
     while True:
-        found, links, joined = search(classes, parts, bare, threshold, k, trees, seed)
-        share = audit(classes, links, threshold, audit_size)
+        found, links, joined = search(classes, parts, bare, threshold, k, trees, seed, kind)
+        share = audit(classes, links, threshold, audit_size, kind)
         if share >= min_recall or trees >= 128:
             break
         trees, seed = 2 * trees, seed + 1
@@ -250,7 +253,7 @@ def embedding_dedup(
 
 
 def search(
-    classes: DataFrame, parts: DataFrame, bare: DataFrame, threshold: float, k: int, trees: int, seed: int
+    classes: DataFrame, parts: DataFrame, bare: DataFrame, threshold: float, k: int, trees: int, seed: int, kind: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pass of trees, descent and block comparison: (lists, links per class, components)."""
     deep = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("_n") / LEAF)))).cast("int")
@@ -258,7 +261,7 @@ def search(
         classes.select("v", "part", "vec")
         .join(parts, "part")
         .select("v", F.xxhash64("part").alias("p"), deep.alias("depth"), "vec")
-        .mapInArrow(leaves(trees, seed), "leaf long, v long, t int")
+        .mapInArrow(leaves(trees, seed, kind), "leaf long, v long, t int")
     )
     coded = cut(coded)
     cuts = coded.groupBy("leaf").agg(F.count("*").alias("_m")).filter("_m > 1")
@@ -266,9 +269,9 @@ def search(
     in_leaf = coded.join(cuts, "leaf").select("leaf", salt.alias("salt"), "v")
     members = in_leaf.join(bare, "v").select("leaf", "salt", "v", "vec")
     first = members.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(
-        local_join(2, 4), "v long, w long, sim float"
+        local_join(2, 4, kind), "v long, w long, sim float"
     )
-    lists = descend(cut(top(first, k)), bare, k, 3)
+    lists = descend(cut(top(first, k)), bare, k, 3, kind)
     near = lists.filter(F.col("sim") >= threshold - 1e-4).select("v", "w")
     blocks = cut(components(near))
     placed = (
@@ -276,6 +279,6 @@ def search(
         .join(classes.select("v", "copies", "vec"), F.col("node") == F.col("v"))
         .select("root", "tiles", "tile", "v", "copies", "vec")
     )
-    compared = cut(pair_tiles(placed, ["v", "copies", "vec"]).mapInArrow(count_links(near_pairs(threshold)), LINKS))
+    compared = cut(pair_tiles(placed, ["v", "copies", "vec"]).mapInArrow(count_links(near_pairs(threshold, kind)), LINKS))
     links = compared.filter("v IS NOT NULL").groupBy("v").agg(F.sum("links").alias("links"))
     return lists, links, components(compared.filter("a IS NOT NULL").select("a", "b"))
