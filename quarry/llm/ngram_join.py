@@ -294,19 +294,21 @@ def ngram_join(
 
 
 def _keep_one(rows: DataFrame, id_col: str) -> DataFrame:
-    """Mark one row of each component: its smallest id, the first such row."""
-    own = F.coalesce("component_id", "_id")
+    """Mark one row of each component: its smallest id, the first such row.
+
+    The marks are joined back by row, so a component of very many rows is no task.
+    """
     heads = (
-        rows.filter(F.col("component_id").isNotNull() & (F.col("_id") == F.col("component_id")))
+        rows.filter(F.col("_id") == F.col("component_id"))
         .groupBy("component_id")
-        .agg(F.min("_row").alias("_head"))
-        .withColumnRenamed("component_id", "_of")
+        .agg(F.min("_row").alias("_row"))
+        .select("_row", F.lit(True).alias("_head"))
     )
-    return rows.join(heads, F.col("component_id") == F.col("_of"), "left").select(
+    return rows.join(heads, "_row", "left").select(
         F.col("_id").alias(id_col),
         F.coalesce("class_id", "_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        own.alias("component_id"),
-        F.coalesce(F.col("_row") == F.col("_head"), F.col("component_id").isNull()).alias("kept"),
+        F.coalesce("component_id", "_id").alias("component_id"),
+        F.coalesce("_head", F.col("component_id").isNull()).alias("kept"),
         "_row",
     )
