@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import hashed, scratch, table
 from quarry.llm.embedding_dedup import embedding_dedup
 from quarry.llm.html_extract import extract_main
-from quarry.llm.line_rules import line_rules, line_rules_sql
+from quarry.llm.line_rules import line_rules
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import ngram_join
+from quarry.llm.oracles import ORACLE_SQL
 from quarry.llm.ordinal import Model, grade_texts, train
 from quarry.llm.piece_codec import digests, encode_decode
 from quarry.llm.shards import ShardStore
@@ -94,6 +95,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -106,7 +109,3 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op8_quality_rules": line_rules_sql(),
-}
