@@ -78,37 +78,63 @@ def greedy_dedup(rows: DataFrame, pairs: DataFrame, order: str, max_rounds: int
     return rows.join(dropped.withColumnRenamed("k", order), order, "left_anti")
 
 
+BLOCK, STRETCH = 2048, 50_000
+
+
+def _unit(values: pd.Series) -> np.ndarray:
+    x = np.array([np.asarray(v, np.float64) for v in values])
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, score, schema: str, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """``score(query frame, row frame)`` over every pair of a query block and a stretch of rows.
+
+    A stated query set against all rows: queries fall into blocks of about ``BLOCK``,
+    rows into stretches of about ``STRETCH``, both by hash, and each pair of them is
+    one bounded group; neither side is collected or broadcast.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    stretches = max(1, -(-rows.count() // STRETCH))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("stretch", number(stretches))
+    r = rows.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("stretch", F.pmod(F.xxhash64("key"), F.lit(stretches)).cast("int")).withColumn("block", number(blocks))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return score(a, b) if len(a) and len(b) else score(a.head(0), b.head(0))
+
+    return q.groupBy("block", "stretch").cogroup(r.groupBy("block", "stretch")).applyInPandas(run, schema)
+
+
+def rescue_similar(rows: DataFrame, queries: DataFrame, threshold: float, cap: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, score): the ``cap`` rows most similar to any query, at least ``threshold``; for query sets of any size."""
+    kind = dict(rows.dtypes)[key]
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best = (_unit(b["v"]) @ _unit(a["v"]).T).max(axis=1) if len(a) else np.zeros(0)
+        return pd.DataFrame({key: b["key"].to_numpy(dtype=object), "score": best})
+
+    each = in_blocks(queries, rows, score, f"{key} {kind}, score double", key, vector)
+    return each.groupBy(key).agg(F.max("score").alias("score")).filter(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(cap)
+
+
 def neighbours(seeds: DataFrame, rows: DataFrame, threshold: float, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, seed, sim): per seed its ``k`` nearest other rows at ``threshold`` or more; a row keeps its best seed.
 
-    ``seeds`` is a bounded query set: it is shipped to every task, and each task
-    returns at most ``k`` rows per seed before the final choice.
+    A group returns at most ``k`` rows per seed (more only where they tie) before the final choice.
     """
-    held = [(r[0], [float(x) for x in r[1]]) for r in seeds.select(key, vector).orderBy(key).collect()]
     kind = dict(rows.dtypes)[key]
-    if not held:
-        return rows.select(F.col(key), F.col(key).alias("seed"), F.lit(0.0).alias("sim")).limit(0)
-    names = [h[0] for h in held]
-    q = np.array([h[1] for h in held], np.float64)
-    q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array([np.asarray(v, np.float64) for v in batch["v"]])
-            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-            s = q @ x.T
-            ids = batch["key"].tolist()
-            seed, row = np.nonzero(s >= threshold)
-            found = pd.DataFrame({"sim": s[seed, row]})
-            found.insert(0, key, pd.Series([ids[i] for i in row], dtype=object))
-            found.insert(1, "seed", pd.Series([names[i] for i in seed], dtype=object))
-            yield found
-
-    each = rows.join(F.broadcast(seeds.select(key)), key, "left_anti").select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(
-        score, f"{key} {kind}, seed {kind}, sim double"
-    )
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({key: [], "seed": [], "sim": []}, dtype=object)
+        s = _unit(a["v"]) @ _unit(b["v"]).T
+        floor = np.maximum(threshold, np.partition(s, -k, axis=1)[:, -k]) if s.shape[1] > k else np.full(len(a), threshold)
+        seed, row = np.nonzero(s >= floor[:, None])
+        names, ids = a["key"].to_numpy(dtype=object), b["key"].to_numpy(dtype=object)
+        return pd.DataFrame({key: ids[row], "seed": names[seed], "sim": s[seed, row]})
+
+    others = rows.join(seeds.select(key), key, "left_anti")
+    each = in_blocks(seeds, others, score, f"{key} {kind}, seed {kind}, sim double", key, vector)
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), key))
     top = each.withColumn("_r", rank).filter(F.col("_r") <= k)
     best = Window.partitionBy(key).orderBy(F.desc("sim"), "seed")

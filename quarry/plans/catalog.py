@@ -100,13 +100,13 @@ def a11_control_characters(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT source, CASE lang WHEN 'en' THEN 'web' WHEN 'fr' THEN 'mobile' WHEN 'de' THEN 'contract' ELSE 'binary' END AS app FROM documents WHERE doc_id % 7 <> 0)
+    """WITH k AS (SELECT DISTINCT source, CASE lang WHEN 'en' THEN 'web' WHEN 'fr' THEN 'mobile' WHEN 'de' THEN 'contract' ELSE 'binary' END AS app FROM documents)
 SELECT source, CASE min(CASE app WHEN 'firmware' THEN 0 WHEN 'binary' THEN 1 WHEN 'web' THEN 2 WHEN 'mobile' THEN 3 ELSE 4 END)
   WHEN 0 THEN 'firmware' WHEN 1 THEN 'binary' WHEN 2 THEN 'web' WHEN 3 THEN 'mobile' ELSE 'contract' END AS app_type FROM k GROUP BY source"""
 )
 def a12_app_type(spark, d):
     kinds = {"en": "web", "fr": "mobile", "de": "contract"}
-    docs = table(spark, d, "documents").filter("doc_id % 7 <> 0")
+    docs = table(spark, d, "documents")
     app = F.coalesce(F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.col("lang")], F.lit("binary"))
     order = F.array_position(F.array(*map(F.lit, seeds.APP_ORDER)), app)
     return docs.groupBy("source").agg(F.min_by(app, order).alias("app_type"))
@@ -159,9 +159,9 @@ def a19_import_rules(spark, d):
     return stores.import_rules(rules, types)
 
 
-@query("""SELECT id, status FROM (SELECT event_id AS id, event_type AS status, user_id % 5 AS run_id FROM events) WHERE run_id = 4 AND status = 'purchase'""")
+@query("SELECT event_id AS id, event_type AS status FROM events WHERE event_type = 'purchase' AND date_trunc('day', ts) = (SELECT max(date_trunc('day', ts)) FROM events)")
 def a20_read_findings(spark, d):
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), (F.col("user_id") % 5).alias("run_id"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.date_trunc("day", "ts").alias("run_id"))
     return stores.findings_in(rows, status="purchase").select("id", "status")
 
 
@@ -171,12 +171,10 @@ def a20_read_findings(spark, d):
 @query(
     r"""SELECT doc_id, (i - 1)::INTEGER AS ordinal, regexp_extract(seg, '^([A-Z]\w+)', 1) AS name, length(seg)::INTEGER AS size
 FROM (SELECT doc_id, unnest(s[2:]) AS seg, unnest(range(1, len(s))) AS i
-      FROM (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)([A-Z]\w)', '\1' || chr(30) || '\2', 'g'), chr(30)) AS s FROM documents
-            WHERE regexp_matches(text, '^[\x20-\x7e\n]*$')))"""
+      FROM (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)([A-Z]\w)', '\1' || chr(30) || '\2', 'g'), chr(30)) AS s FROM documents))"""
 )
 def b6_line_segments(spark, d):
-    ascii_docs = table(spark, d, "documents").filter(F.col("text").rlike(r"\A[\x20-\x7e\n]*\z"))
-    return split_lines(ascii_docs, "doc_id", "text", r"([A-Z]\w+)").select("doc_id", "ordinal", "name", F.length("segment").alias("size"))
+    return split_lines(table(spark, d, "documents"), "doc_id", "text", r"([A-Z]\w+)").select("doc_id", "ordinal", "name", F.length("segment").alias("size"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -369,11 +367,11 @@ def d4_alias_expansion(spark, d):
     """WITH f AS (SELECT DISTINCT replace(p_name, ' ', '/') || '/m' || p_size % 4 AS file FROM part),
 s AS (SELECT file, unnest([split_part(file, '/', -1), split_part(file, '/', -2) || '.' || split_part(file, '/', -1), replace(file, '/', '.')]) AS suffix,
       len(string_split(file, '/')) AS n FROM f)
-SELECT suffix, CASE WHEN count(DISTINCT file) = 1 THEN min(file) ELSE '' END AS file FROM (SELECT DISTINCT file, suffix FROM s WHERE n = 3) GROUP BY suffix"""
+SELECT suffix, CASE WHEN count(DISTINCT file) = 1 THEN min(file) ELSE '' END AS file FROM (SELECT DISTINCT file, suffix FROM s) GROUP BY suffix"""
 )
 def d5_module_suffixes(spark, d):
     part = table(spark, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/m"), (F.col("p_size") % 4).cast("string")).alias("file"))
-    return g.module_suffixes(part.filter(F.size(F.split("file", "/")) == 3))
+    return g.module_suffixes(part)
 
 
 @query(
@@ -409,22 +407,23 @@ def d8_attribution(spark, d):
 
 
 @query(
-    """SELECT (sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)) AS hit, count(*) AS n FROM documents GROUP BY 1"""
+    """SELECT (sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))) AS hit, count(*) AS n FROM documents GROUP BY 1"""
 )
 def d9_cache_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    hits, misses = stores.split_cache(docs, docs.filter("doc_id % 3 = 0"), "key")
+    hits, misses = stores.split_cache(docs, docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "key")
     return hits.agg(F.lit(True).alias("hit"), F.count("*").alias("n")).union(misses.agg(F.lit(False).alias("hit"), F.count("*").alias("n"))).filter("n > 0")
 
 
 @query(
-    """WITH f AS (SELECT doc_id AS id, source AS file, n_chars AS line, lang AS type FROM documents WHERE doc_id % 2 = 0),
-v AS (SELECT doc_id AS id, source AS file, n_chars AS line, lang AS type FROM documents WHERE doc_id % 2 = 1)
+    """WITH f AS (SELECT doc_id AS id, source AS file, n_chars AS line, lang AS type FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+v AS (SELECT doc_id AS id, source AS file, n_chars AS line, lang AS type FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT * FROM f UNION ALL SELECT v.* FROM v WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.file = v.file AND f.line = v.line AND f.type = v.type)"""
 )
 def d10_variant_merge(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("n_chars").alias("line"), F.col("lang").alias("type"))
-    return fo.merge_variants(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")).select("id", "file", "line", "type")
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return fo.merge_variants(rows.join(known, "id", "left_semi"), rows.join(known, "id", "left_anti")).select("id", "file", "line", "type")
 
 
 # -- E: graph construction -------------------------------------------------------
@@ -432,7 +431,7 @@ def d10_variant_merge(spark, d):
 
 @query(
     f"""WITH {SQL},
-c AS (SELECT l_partkey AS src, l_suppkey AS dst, l_linestatus AS v, l_quantity > 25 AS data, l_discount > 0.05 AS back, l_tax > 0.04 AS guard, l_discount > 0.07 AS clean FROM lineitem WHERE l_linenumber = 1)
+c AS (SELECT l_partkey AS src, l_suppkey AS dst, l_linestatus AS v, l_quantity > 25 AS data, l_discount > 0.05 AS back, l_tax > 0.04 AS guard, l_discount > 0.07 AS clean FROM lineitem)
 SELECT type, count(*) AS n, count_if(sanitized) AS clean, min(condition) AS first_condition FROM (
   SELECT src, dst, 'calls' AS type, '' AS condition, false AS sanitized FROM c UNION ALL
   SELECT src, dst, 'data_flow', '', clean FROM c WHERE data UNION ALL
@@ -441,7 +440,7 @@ SELECT type, count(*) AS n, count_if(sanitized) AS clean, min(condition) AS firs
 )
 def e8_emit_edges(spark, d):
     none = F.array().cast("array<string>")
-    calls = table(spark, d, "lineitem").filter("l_linenumber = 1").select(
+    calls = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("src"),
         F.col("l_suppkey").alias("dst"),
         F.when(F.col("l_quantity") > 25, F.array("l_linestatus")).otherwise(none).alias("data_vars"),
@@ -534,11 +533,11 @@ def f5_adjacency(spark, d):
 
 @query(
     f"""WITH RECURSIVE {SQL}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
-r(id, hop) AS (SELECT id, 0 FROM nodes WHERE id % 97 = 1 UNION SELECT b.y, r.hop + 1 FROM r JOIN b ON b.x = r.id WHERE r.hop < 2)
+r(id, hop) AS (SELECT id, 0 FROM nodes WHERE is_sink UNION SELECT b.y, r.hop + 1 FROM r JOIN b ON b.x = r.id WHERE r.hop < 2)
 SELECT id, min(hop)::INTEGER AS hop FROM r GROUP BY id"""
 )
 def f6_neighbourhood(spark, d):
-    return g.neighbourhood(roles.raw_edges(spark, d), roles.nodes(spark, d).filter("id % 97 = 1"), 2)
+    return g.neighbourhood(roles.raw_edges(spark, d), roles.nodes(spark, d).filter("is_sink"), 2)
 
 
 @query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'red')")
@@ -609,13 +608,13 @@ def f17_graph_stats(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z_]\w*|[^\s\w]')) AS tok FROM benchmark WHERE regexp_matches(text, '^[\x20-\x7e\n]*$')),
+    r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z_]\w*|[^\s\w]')) AS tok FROM benchmark),
 h AS (SELECT item_id, sha256(tok) AS h FROM t),
 s AS (SELECT item_id, ('0x' || substring(h, 1, 8))::BIGINT % 256 AS slot, sum(CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2)
 SELECT item_id, slot::INTEGER AS slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM s WHERE v <> 0"""
 )
 def g1_hash_embedding(spark, d):
-    rows = table(spark, d, "benchmark").filter(F.col("text").rlike(r"\A[\x20-\x7e\n]*\z"))
+    rows = table(spark, d, "benchmark")
     return (
         V.hash_embed(rows, "item_id", "text")
         .select("item_id", F.posexplode("embedding").alias("slot", "v"))
@@ -624,28 +623,25 @@ def g1_hash_embedding(spark, d):
     )
 
 
-_SEEDS = "vec_id < 5"
-
-
 @query(
-    f"""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
-FROM embeddings a, embeddings b WHERE a.{_SEEDS} AND b.vec_id >= 5"""
+    """WITH f AS (SELECT label, min(vec_id) AS head FROM embeddings GROUP BY label)
+SELECT b.vec_id AS id, f.head, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
+FROM embeddings b JOIN f USING (label) JOIN embeddings a ON a.vec_id = f.head"""
 )
 def g5_cosine(spark, d):
-    vec = table(spark, d, "embeddings").select("vec_id", "embedding")
-    few = vec.filter(_SEEDS).select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    rest = vec.filter("vec_id >= 5").select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), V.norm(F.col("embedding")).alias("nb"))
-    return rest.join(F.broadcast(few)).select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb"), None, F.col("nb")), 6).alias("sim"))
+    vec = table(spark, d, "embeddings")
+    heads = vec.groupBy("label").agg(F.min("vec_id").alias("head"), F.min_by("embedding", "vec_id").alias("va"))
+    return vec.join(heads, "label").select(F.col("vec_id").alias("id"), "head", F.round(V.cosine(F.col("va"), F.col("embedding")), 6).alias("sim"))
 
 
 _SCORE = """s AS (SELECT b.vec_id AS id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score
-FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.vec_id >= 5 GROUP BY 1)"""
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY 1)"""
 
 
 @query(f"WITH {_SCORE} SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.22 ORDER BY score DESC, id LIMIT 25")
 def g6_semantic_rescue(spark, d):
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    got = pf.rescue_similar(vec.filter("id >= 5"), vec.filter("id < 5"), 0.22, pf.rescue_budget(50))
+    got = vo.rescue_similar(vec.filter("id % 20 <> 0"), vec.filter("id % 20 = 0"), 0.22, pf.rescue_budget(50))
     return got.select("id", F.round("score", 6).alias("score"))
 
 
@@ -675,14 +671,14 @@ def g9_near_dedup(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT a.vec_id AS seed, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20),
+    """WITH c AS (SELECT a.vec_id AS seed, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS r FROM c WHERE sim >= 0.3),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seed) AS q FROM k WHERE r <= 10)
 SELECT id, seed, round(sim, 6) AS sim FROM b WHERE q = 1"""
 )
 def g10_neighbours(spark, d):
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    got = vo.neighbours(vec.filter("id < 20"), vec, 0.3, 10)
+    got = vo.neighbours(vec.filter("id % 20 = 0"), vec, 0.3, 10)
     return got.select("id", "seed", F.round("sim", 6).alias("sim"))
 
 
@@ -813,18 +809,18 @@ def h16_tasks_by_tier(spark, d):
 
 @query(
     r"""SELECT doc_id, CASE WHEN length(text) > 48 THEN substring(text, 1, 47) || '…' ELSE text END AS label,
-replace(replace(replace(replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html,
+replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html,
 greatest(0.0, least(1.0, (n_chars - 100) / 1000.0))::DOUBLE AS clamped FROM documents"""
 )
 def i1_escaping(spark, d):
     return table(spark, d, "documents").select(
-        "doc_id", T.label(F.col("text")).alias("label"), T.html(F.substring("text", 1, 200)).alias("html"), T.clamp((F.col("n_chars") - 100) / F.lit(1000.0), 0.0, 1.0).alias("clamped")
+        "doc_id", T.label(F.col("text")).alias("label"), T.html(F.col("text")).alias("html"), T.clamp((F.col("n_chars") - 100) / F.lit(1000.0), 0.0, 1.0).alias("clamped")
     )
 
 
-@query(r"""SELECT doc_id, regexp_replace(substring(text, 1, 300), '([\\`*_{}\[\]()#+|<>-])', '\\\1', 'g') AS md FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '([\\`*_{}\[\]()#+|<>-])', '\\\1', 'g') AS md FROM documents""")
 def i2_markdown(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.markdown(F.substring("text", 1, 300)).alias("md"))
+    return table(spark, d, "documents").select("doc_id", T.markdown(F.col("text")).alias("md"))
 
 
 @query(
@@ -856,7 +852,7 @@ def j3_variant_hunt(spark, d):
     def judge(fresh: DataFrame) -> DataFrame:
         return fresh.join(vec.select("id", "label"), "id").withColumn("status", F.when(F.col("label") % 2 == 0, "confirmed").otherwise("false_positive"))
 
-    found, _ = fo.hunt_variants(vec.filter("id < 5").select("id"), near, judge)
+    found, _ = fo.hunt_variants(vec.filter("id % 20 = 0").select("id"), near, judge)
     return found
 
 
@@ -886,13 +882,16 @@ def j8_tier_policy(spark, d):
 
 
 @query(
-    """WITH new AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 5 <> 0), old AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 3 <> 0)
+    """WITH new AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents), old AS (SELECT doc_id AS path, CASE WHEN toxic = 1 THEN 'x' ELSE sha256(text) END AS hash FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT -item_id - 1, sha256(text) FROM benchmark)
 SELECT coalesce(new.path, old.path) AS path, CASE WHEN new.path IS NULL THEN 'dropped' WHEN old.path IS NULL THEN 'added' WHEN new.hash = old.hash THEN 'reused' ELSE 'changed' END AS state FROM new FULL JOIN old ON new.path = old.path"""
 )
 def j12_incremental(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
-    new = docs.filter("path % 5 <> 0")
-    old = docs.filter("path % 3 <> 0").select(F.col("path").alias("p"), F.when(F.col("path") % 7 == 0, "x").otherwise(F.col("hash")).alias("h"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("path"), "toxic")
+    seen = docs.join(labels, "path").select(F.col("path").alias("p"), F.when(F.col("toxic") == 1, "x").otherwise(F.col("hash")).alias("h"))
+    gone = table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("p"), F.sha2("text", 256).alias("h"))
+    new, old = docs, seen.union(gone)
     state = F.when(F.col("path").isNull(), "dropped").when(F.col("p").isNull(), "added").when(F.col("hash") == F.col("h"), "reused").otherwise("changed")
     return new.join(old, F.col("path") == F.col("p"), "full_outer").select(F.coalesce("path", "p").alias("path"), state.alias("state"))
 
@@ -942,7 +941,7 @@ def l4_failures(spark, d):
 def l8_sarif(spark, d):
     rows = table(spark, d, "documents").select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("type"), F.col("source").alias("file"),
-        F.lit(0).alias("line"), F.lit("high").alias("severity"), F.substring("text", 1, 40).alias("message"),
+        F.lit(0).alias("line"), F.lit("high").alias("severity"), F.col("text").alias("message"),
     )
     docs = fo.sarif(rows)
     return docs.select(
@@ -1058,12 +1057,12 @@ def f15_taint_steps(spark, d):
 
 
 @query(
-    """SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS findings FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+    """SELECT doc_id AS key, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE 'old' END AS findings FROM documents"""
 )
 def j2_cache_store(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
-    old = docs.filter("key % 3 = 0").withColumn("findings", F.lit("old"))
-    return stores.upsert(old, docs.filter("key % 2 = 0").withColumn("findings", F.lit("new")), "key")
+    new = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    return stores.upsert(docs.withColumn("findings", F.lit("old")), new.withColumn("findings", F.lit("new")), "key")
 
 
 @query("""SELECT doc_id AS id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'confirmed' ELSE 'needs_review' END AS status FROM documents""")
