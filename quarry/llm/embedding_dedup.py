@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, hashed
 from quarry.llm.components import components
-from quarry.llm.tiles import LINKS, count_links, grouped, pair_tiles, place
+from quarry.llm.tiles import FLUSH, LINKS, count_links, grouped, pair_tiles, place
 
 LEAF, LEAF_LIMIT = 64, 256
 TILE = 1024
@@ -73,6 +73,10 @@ def local_join(keys: int, k: int, kind: str):
     """Compare the members of each group with each other; each keeps its ``k`` best there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["v", "w", "sim"])
+
+        held, size = [], 0
         for rows in grouped(batches, keys):
             if len(rows) < 2:
                 continue
@@ -80,9 +84,13 @@ def local_join(keys: int, k: int, kind: str):
             x = matrix([r[keys + 1] for r in rows], kind).astype(np.float32)
             sims = x @ x.T
             a, b = best(sims, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v[a]), pa.array(v[b]), pa.array(sims[a, b], pa.float32())], ["v", "w", "sim"]
-            )
+            held.append((v[a], v[b], sims[a, b]))
+            size += len(a)
+            if size >= FLUSH:
+                yield batch(held)
+                held, size = [], 0
+        if held:
+            yield batch(held)
 
     return run
 

@@ -46,6 +46,8 @@ def pair_tiles(placed: DataFrame, payload: list[str]) -> DataFrame:
     )
 
 
+#: Rows gathered from small groups before they are handed on.
+FLUSH = 10_000
 LINKS = "v long, links long, a long, b long"
 
 
@@ -57,43 +59,45 @@ def count_links(pairs: Callable[[list[tuple], list[tuple]], Iterator[tuple[int,
     linked rows and the links that join classes, at most one less than there are.
     """
 
+    def links_of(rows: list[tuple]) -> Iterator[tuple]:
+        same = rows[0][1] == rows[0][2]
+        first = [r[4:] for r in rows if same or r[3] == r[1]]
+        second = [] if same else [r[4:] for r in rows if r[3] == r[2]]
+        every = first + second
+        if len(every) < 2 or not same and not (first and second):
+            return
+        copies = [r[1] for r in every]
+        degree = [0] * len(every)
+        root = list(range(len(every)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, hits in pairs(first, second):
+            for j in hits.tolist():
+                degree[i] += copies[j]
+                degree[j] += copies[i]
+                x, y = find(i), find(j)
+                if x != y:
+                    root[y] = x
+                    yield None, None, every[i][0], every[j][0]
+        for r, d in zip(every, degree):
+            if d:
+                yield r[0], d, None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], ["v", "links", "a", "b"])
+
+        held: list[tuple] = []
         for rows in grouped(batches, 3):
-            same = rows[0][1] == rows[0][2]
-            first = [r[4:] for r in rows if same or r[3] == r[1]]
-            second = [] if same else [r[4:] for r in rows if r[3] == r[2]]
-            every = first + second
-            if len(every) < 2 or not same and not (first and second):
-                continue
-            copies = [r[1] for r in every]
-            degree = [0] * len(every)
-            root = list(range(len(every)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            a, b = [], []
-            for i, hits in pairs(first, second):
-                for j in hits.tolist():
-                    degree[i] += copies[j]
-                    degree[j] += copies[i]
-                    x, y = find(i), find(j)
-                    if x != y:
-                        root[y] = x
-                        a.append(every[i][0])
-                        b.append(every[j][0])
-            v = [(r[0], d) for r, d in zip(every, degree) if d]
-            none_a, none_v = [None] * len(a), [None] * len(v)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x for x, _ in v] + none_a, pa.int64()),
-                    pa.array([d for _, d in v] + none_a, pa.int64()),
-                    pa.array(none_v + a, pa.int64()),
-                    pa.array(none_v + b, pa.int64()),
-                ],
-                ["v", "links", "a", "b"],
-            )
+            held.extend(links_of(rows))
+            if len(held) >= FLUSH:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
 
     return run
