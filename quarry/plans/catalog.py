@@ -729,7 +729,7 @@ def h4_evaluation(spark, d):
 
 
 @query(
-    """(SELECT doc_id, toxic FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 20) UNION ALL (SELECT doc_id, toxic FROM labels WHERE toxic = 0 ORDER BY doc_id LIMIT 20)"""
+    """(SELECT doc_id, toxic FROM labels WHERE toxic = 1 ORDER BY doc_id LIMIT 20) UNION ALL (SELECT doc_id, toxic FROM labels WHERE toxic = 0 ORDER BY doc_id LIMIT (SELECT 40 - least(20, count(*)) FROM labels WHERE toxic = 1))"""
 )
 def h5_balanced_sample(spark, d):
     return fo.balanced(table(spark, d, "labels").select("doc_id", "toxic"), F.col("toxic") == 1, "doc_id", 40)
