@@ -50,6 +50,36 @@ def hashed(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+#: What operators keep in a Python worker from task to task, by operator.
+_WORKER: dict[str, dict] = {}
+
+
+def worker_state(operator: str) -> dict:
+    """The operator's memo in this worker; the next other operator there empties it."""
+    return _WORKER.setdefault(operator, {})
+
+
+def release(keep: str = "") -> None:
+    """Empty the memos of other operators and give freed memory back to the system.
+
+    Workers outlive their tasks; what one operator has left would otherwise count
+    against the next one on the same executor.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for operator, state in _WORKER.items():
+        if operator != keep:
+            state.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch, column: int, limit: int = 8 << 20):
     """Cut an Arrow record batch so that ``column``'s texts of a piece stay near ``limit`` bytes.
 

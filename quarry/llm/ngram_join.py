@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, slices
+from quarry.llm.common import cut, release, slices
 from quarry.llm.components import components
 from quarry.llm.rolling import mix, windows, words_of
 
@@ -194,6 +194,8 @@ def compare(similarity: float):
                 held.append(row)
         if held:
             yield result()
+        held = []
+        release()
 
     return run
 
@@ -217,8 +219,9 @@ def ngram_join(
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 19):
                 grams, first = gram_sets(part.column(1), n)
                 v = set_ids(grams, first)
                 full = np.flatnonzero(v >= 0)
@@ -228,6 +231,7 @@ def ngram_join(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(v), pa.array(lists, pa.list_(pa.int64()))], ["_id", "v", "bands"]
                 )
+        release()
 
     signed = cut(slim.mapInArrow(sign, "_id long, v long, bands array<long>"))
     classes = cut(
@@ -248,7 +252,7 @@ def ngram_join(
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 19):
                 grams, first = gram_sets(part.column(1), n)
                 v = set_ids(grams, first)
                 blobs = [grams[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1], first[1:])]
@@ -258,6 +262,7 @@ def ngram_join(
                     ["v", "copies", "root", "tiles", "tile", "grams"],
                 )
                 yield out.filter(right)
+        release()
 
     held = (
         slim.join(placed, slim["_id"] == placed["class_id"])

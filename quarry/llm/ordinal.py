@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed, slices
+from quarry.llm.common import hashed, release, slices
 
 BITS = 18
 #: Word features take the buckets below, shape features those from here on.
@@ -158,7 +158,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int
 class Scorer:
     """Scores whole texts; the memo of words is bounded."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         self.word: dict[str, float] = {}
         self.shaped: dict[str, float] = {}
@@ -219,6 +219,7 @@ def train(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, 2):
                 found = [features(t) for t in part.column(2).to_pylist()]
@@ -231,6 +232,7 @@ def train(
                     ],
                     ["_id", "_grade", "b", "v"],
                 )
+        release()
 
     got = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -270,9 +272,10 @@ def grade_texts(
     width = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(held.value)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 4 << 20):
                 scores = [scorer.score(t) for t in part.column(at).to_pylist()]
                 tails = [[0.0] * len(scorer.model.thresholds) if s is None else scorer.model.tails(s) for s in scores]
                 yield pa.RecordBatch.from_arrays(
@@ -283,6 +286,8 @@ def grade_texts(
                     ],
                     [f.name for f in rest] + names,
                 )
+        del scorer
+        release()
 
     out = docs.select(*(f"`{f.name}`" for f in rest)).mapInArrow(run, schema)
     return out.withColumn("kept", F.col("tail_probability") >= min_tail)

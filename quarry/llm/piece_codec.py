@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import release, slices, worker_state
 
 BLANK = "▁"
-CACHE = 300_000
+CACHE = 200_000
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -166,7 +166,7 @@ class PieceCodec:
         """Whether the texts of a and b, put together, encode as a, b."""
         held = self.pairs.get((a, b))
         if held is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
             left, right = self.text_of[a], self.text_of[b]
             held = self.pairs[a, b] = self.joined(left + right) == [left, right]
@@ -253,15 +253,14 @@ class PieceCodec:
             return text.encode("utf-8", "surrogateescape").decode("utf-8", "quarry-bytewise")
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(model: str) -> PieceCodec:
     """The worker's codec of a model file; one at a time is kept."""
-    if model not in _CODECS:
-        _CODECS.clear()
-        _CODECS[model] = PieceCodec(model)
-    return _CODECS[model]
+    held = worker_state("piece_codec")
+    if model not in held:
+        release("piece_codec")
+        held.clear()
+        held[model] = PieceCodec(model)
+    return held[model]
 
 
 def encode_decode(
@@ -275,14 +274,14 @@ def encode_decode(
 ) -> DataFrame:
     """(id, ids array<int>[, decoded string]) for every row of ``docs``.
 
-    No shuffle; Python holds one slice of a batch (about 8 MB of text) at a time.
+    No shuffle; Python holds one slice of a batch (about 4 MB of text) at a time.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 encoded = [np.array(own.encode(t, end), np.int32) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
                 flat = np.concatenate(encoded) if encoded else np.zeros(0, np.int32)
@@ -290,6 +289,7 @@ def encode_decode(
                 if decoded:
                     columns.append(pa.array([own.decode(x.tolist()) for x in encoded], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"][: len(columns)])
+        release("piece_codec")
 
     schema = f"_id {id_type}, ids array<int>" + ", decoded string" * decoded
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)

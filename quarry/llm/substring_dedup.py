@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import release, slices
 from quarry.llm.rolling import mix, windows, words_of
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 #: Windows a map task gathers before it deals them out.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -99,10 +99,11 @@ def emit(window: int, seed_words: int, bits: int):
     """Map side: documents to dealt windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
         count = 0
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 19):
                 ids = part.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
                 words = words_of(part.column(1))
                 h, whole = windows(words, window)
@@ -121,6 +122,8 @@ def emit(window: int, seed_words: int, bits: int):
                     held, count = [], 0
         if held:
             yield deal(held, bits)
+        held = []
+        release()
 
     return run
 
@@ -166,6 +169,8 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(tuple(row))
     if held:
         yield result(held)
+    held = []
+    release()
 
 
 def intervals(at: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -227,7 +232,7 @@ def substring_dedup(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 out: list[list] = [[], [], [], []]
                 for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     spans = []
