@@ -5,9 +5,10 @@
    each class first neighbours; large leaves are cut by hash.
 2. NN-descent: the neighbours and reverse neighbours of every class are compared
    with each other, better ones replace worse ones, until the lists stand still.
-3. Lists are full long before a group of thousands is listed. So the lists'
-   threshold edges only have to hold a group together: its components are the
-   enlarged lists, compared whole in double precision, tile by tile.
+3. Lists are full long before a group of thousands is listed. So no threshold edge
+   that a comparison meets is thrown away for its rank: each leaf and local join
+   hands on a spanning forest of all of its own. The components of these edges and
+   the lists' are the enlarged lists, compared whole in double precision, tile by tile.
 4. Recall is audited: a seeded sample of classes meets all vectors of its label; as
    long as it misses ``min_recall``, the trees double and the search goes again.
 
@@ -69,12 +70,37 @@ def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), top.ravel()
 
 
-def local_join(keys: int, k: int, kind: str):
-    """Compare the members of each group with each other; each keeps its ``k`` best there."""
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same members as the symmetric matrix ``near``: less than one a member."""
+    left = near.any(axis=1)
+    a, b = [], []
+    for start in np.flatnonzero(left).tolist():
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            hits = np.flatnonzero(near[i] & left)
+            left[hits] = False
+            a.append(np.full(len(hits), i))
+            b.append(hits)
+            todo.extend(hits.tolist())
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+#: What local joins return; ``link`` rows are threshold edges that stay whatever their rank.
+PAIRS = "v long, w long, sim float, link boolean"
+
+
+def local_join(keys: int, k: int, threshold: float, kind: str):
+    """Compare the members of each group with each other; each keeps its ``k`` best there,
+    the group a spanning forest of its threshold edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(held: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["v", "w", "sim"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["v", "w", "sim", "link"])
 
         held, size = [], 0
         for rows in grouped(batches, keys):
@@ -84,7 +110,10 @@ def local_join(keys: int, k: int, kind: str):
             x = matrix([r[keys + 1] for r in rows], kind).astype(np.float32)
             sims = x @ x.T
             a, b = best(sims, k)
-            held.append((v[a], v[b], sims[a, b]))
+            c, d = forest(sims >= threshold)
+            link = np.repeat([False, True], [len(a), len(c)])
+            a, b = np.concatenate([a, c]), np.concatenate([b, d])
+            held.append((v[a], v[b], sims[a, b], link))
             size += len(a)
             if size >= FLUSH:
                 yield batch(held)
@@ -137,20 +166,28 @@ def top(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def descend(lists: DataFrame, vectors: DataFrame, k: int, max_rounds: int, kind: str) -> DataFrame:
+def listed(pairs: DataFrame, k: int) -> DataFrame:
+    """(v, w, sim, link, best): the ``k`` best neighbours of each class and all links."""
+    one = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("link").alias("link"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), F.xxhash64("v", "w")))
+    return one.withColumn("best", rank <= k).filter("best OR link")
+
+
+def descend(held: DataFrame, vectors: DataFrame, k: int, max_rounds: int, threshold: float, kind: str) -> DataFrame:
     """Neighbours-of-neighbours rounds until the lists gain less than a thousandth."""
     total = None
     for _ in range(max_rounds):
+        lists = held.filter("best").select("v", "w", "sim")
         both = lists.union(lists.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
         around = top(both, 2 * k).select(F.col("v").alias("u"), "w")
         members = around.join(vectors, around["w"] == vectors["v"]).select("u", "w", "vec")
-        found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3, kind), "v long, w long, sim float")
-        lists = cut(top(lists.union(found), k))
-        now = lists.agg(F.sum("sim")).first()[0] or 0.0
+        found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3, threshold, kind), PAIRS)
+        held = cut(listed(held.drop("best").union(found), k))
+        now = held.filter("best").agg(F.sum("sim")).first()[0] or 0.0
         if total is not None and now - total <= 0.001 * abs(total):
             break
         total = now
-    return lists
+    return held
 
 
 def near_pairs(threshold: float, kind: str):
@@ -264,6 +301,7 @@ def search(
     classes: DataFrame, parts: DataFrame, bare: DataFrame, threshold: float, k: int, trees: int, seed: int, kind: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pass of trees, descent and block comparison: (lists, links per class, components)."""
+    slack = threshold - 1e-4  # comparisons before the last are in single precision
     deep = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("_n") / LEAF)))).cast("int")
     coded = (
         classes.select("v", "part", "vec")
@@ -277,10 +315,10 @@ def search(
     in_leaf = coded.join(cuts, "leaf").select("leaf", salt.alias("salt"), "v")
     members = in_leaf.join(bare, "v").select("leaf", "salt", "v", "vec")
     first = members.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(
-        local_join(2, 4, kind), "v long, w long, sim float"
+        local_join(2, 4, slack, kind), PAIRS
     )
-    lists = descend(cut(top(first, k)), bare, k, 3, kind)
-    near = lists.filter(F.col("sim") >= threshold - 1e-4).select("v", "w")
+    lists = descend(cut(listed(first, k)), bare, k, 3, slack, kind)
+    near = lists.filter(F.col("sim") >= slack).select("v", "w")
     blocks = cut(components(near))
     placed = (
         place(blocks, TILE)

@@ -96,6 +96,17 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_full_lists_do_not_hide_links_of_nested_groups(spark):
+    axes = np.eye(64)
+    rows = []
+    for side in range(2):  # within a side 0.99, across 0.935
+        for i in range(20):
+            v = 0.935**0.5 * axes[0] + 0.055**0.5 * axes[1 + side] + 0.01**0.5 * axes[3 + 20 * side + i]
+            rows.append((20 * side + i, v.tolist(), 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()} == {(39, 0)}
+
+
 def test_targets_stop_at_the_cap():
     got = targets({"a": 100, "b": 1000, None: 10}, (5, 2, 1), 1.5, 2.0)
     assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-6
