@@ -9,8 +9,10 @@
    that a comparison meets is thrown away for its rank: each leaf and local join
    hands on a spanning forest of all of its own. The components of these edges and
    the lists' are the enlarged lists, compared whole in double precision, tile by tile.
-4. Recall is audited: a seeded sample of classes meets all vectors of its label; as
-   long as it misses ``min_recall``, the trees double and the search goes again.
+4. Recall is audited: a seeded sample of classes, dealt over the labels and over those
+   with and without a link found, meets all vectors of its label; recall is the mean
+   over classes with true links. As long as it misses ``min_recall``, trees and lists
+   double and the search goes again; after ``max_tries`` searches that is an error.
 
 Defined results: vectors that are null, zero or hold null or non-finite components,
 and vectors with a null label, link with nothing; vectors of different lengths never
@@ -153,7 +155,7 @@ def leaves(trees: int, seed: int, kind: str):
                     code = (signs << np.arange(BITS)).cumsum(axis=1)
                     d = depth[at]
                     held = np.where(d > 0, code[np.arange(len(at)), np.maximum(d, 1) - 1], 0)
-                    leaf = part[at] ^ ((held << 8 | t) * np.int64(-7046029254386353131))
+                    leaf = part[at] ^ ((held << 16 | t) * np.int64(-7046029254386353131))
                     yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(v[at]), pa.array(np.full(len(at), t, np.int32))], ["leaf", "v", "t"])
 
     return run
@@ -173,18 +175,21 @@ def listed(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("best", rank <= k).filter("best OR link")
 
 
-def descend(held: DataFrame, vectors: DataFrame, k: int, max_rounds: int, threshold: float, kind: str) -> DataFrame:
-    """Neighbours-of-neighbours rounds until the lists gain less than a thousandth."""
+def descend(held: DataFrame, vectors: DataFrame, k: int, threshold: float, kind: str) -> DataFrame:
+    """Neighbours-of-neighbours rounds until the lists gain less than a thousandth.
+
+    The sum of sim + 1 only grows and is bounded, so the rounds end.
+    """
     total = None
-    for _ in range(max_rounds):
+    while True:
         lists = held.filter("best").select("v", "w", "sim")
         both = lists.union(lists.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
         around = top(both, 2 * k).select(F.col("v").alias("u"), "w")
         members = around.join(vectors, around["w"] == vectors["v"]).select("u", "w", "vec")
         found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3, threshold, kind), PAIRS)
         held = cut(listed(held.drop("best").union(found), k))
-        now = held.filter("best").agg(F.sum("sim")).first()[0] or 0.0
-        if total is not None and now - total <= 0.001 * abs(total):
+        now = held.filter("best").agg(F.sum(F.col("sim") + 1)).first()[0] or 0.0
+        if total is not None and now - total <= 0.001 * total:
             break
         total = now
     return held
@@ -205,12 +210,29 @@ def near_pairs(threshold: float, kind: str):
     return pairs
 
 
+#: Sampled classes with true links from which a label's own recall is judged.
+ENOUGH = 200
+
+
 def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int, kind: str) -> float:
-    """Share of the sampled classes' true links that ``linked`` (v, links) has."""
-    sample = classes.orderBy(hashed("v", seed=3), "v").limit(size).select("v", "part", "vec")
-    held = [(r["v"], r["part"], bytes(r["vec"])) for r in sample.collect()]
-    if not held:
+    """Mean recall of ``linked`` (v, links) per class with true links, or that of the worst label.
+
+    About ``size`` classes are drawn: equally many from the classes of each label with a
+    link found and from those without, weighted by how many each draw stands for. A
+    label with ``ENOUGH`` such classes in the sample is also judged alone.
+    """
+    known = classes.join(linked, "v", "left").select(
+        "v", "part", "vec", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("links", F.lit(0)) > 0).alias("some")
+    )
+    strata = cut(known.groupBy("part", "some").agg(F.count("*").alias("_s")))
+    each = size / max(1, strata.count())
+    draw = F.pmod(hashed("v", seed=3), F.lit(1 << 30)) / (1 << 30)
+    rate = F.least(F.lit(1.0), F.lit(each) / F.col("_s"))
+    sample = known.join(strata, ["part", "some"]).filter(draw < rate).select("v", "part", "vec", "links", rate.alias("rate"))
+    drawn = {r["v"]: r for r in sample.collect()}
+    if not drawn:
         return 1.0
+    held = [(r["v"], r["part"], bytes(r["vec"])) for r in drawn.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[str, list[tuple[int, bytes]]] = {}
@@ -219,24 +241,29 @@ def audit(classes: DataFrame, linked: DataFrame, threshold: float, size: int, ki
         ready = {p: (np.array([v for v, _ in x], np.int64), matrix([b for _, b in x], kind)) for p, x in by_part.items()}
         for batch in batches:
             v = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = np.array(batch.column(1).to_pylist(), object)
+            rows: dict[str, list[int]] = {}
+            for i, p in enumerate(batch.column(1).to_pylist()):
+                rows.setdefault(p, []).append(i)
             copies = batch.column(2).to_numpy(zero_copy_only=False)
             blobs = batch.column(3).to_pylist()
-            for p, (own, x) in ready.items():
-                at = np.flatnonzero(parts == p)
-                if len(at):
+            for p, at in rows.items():
+                if p in ready:
+                    own, x = ready[p]
                     hit = (x @ matrix([blobs[i] for i in at], kind).T >= threshold) & (own[:, None] != v[at][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hit @ copies[at])], ["v", "true_links"])
+                    links = hit @ copies[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[links > 0]), pa.array(links[links > 0])], ["v", "true_links"])
 
     truth = classes.select("v", "part", "copies", "vec").mapInArrow(run, "v long, true_links long")
-    got = (
-        truth.groupBy("v")
-        .agg(F.sum("true_links").alias("t"))
-        .join(linked, "v", "left")
-        .agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("links", F.lit(0)))).alias("f"))
-        .first()
-    )
-    return 1.0 if not got["t"] else got["f"] / got["t"]
+    by_part: dict[str, list[tuple[float, float]]] = {}
+    for r in truth.groupBy("v").agg(F.sum("true_links").alias("t")).collect():
+        own = drawn[r["v"]]
+        by_part.setdefault(own["part"], []).append((min(r["t"], own["links"]) / r["t"], 1 / own["rate"]))
+
+    def mean(found: list[tuple[float, float]]) -> float:
+        return sum(f * w for f, w in found) / sum(w for _, w in found)
+
+    every = [x for found in by_part.values() for x in found]
+    return min([mean(every), *(mean(found) for found in by_part.values() if len(found) >= ENOUGH)]) if every else 1.0
 
 
 def embedding_dedup(
@@ -246,7 +273,8 @@ def embedding_dedup(
     recall: float = 0.999,
     min_recall: float = 0.995,
     k: int = 6,
-    audit_size: int = 256,
+    audit_size: int = 4096,
+    max_tries: int = 6,
     seed: int = 13,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -270,12 +298,14 @@ def embedding_dedup(
     depth = max(0, min(BITS, math.ceil(math.log2(max(most, 1) / LEAF))))
     trees = trees_for(threshold, recall, depth)
     bare = classes.select("v", "vec")
-    while True:
-        found, links, joined = search(classes, parts, bare, threshold, k, trees, seed, kind)
+    for tried in range(1, max_tries + 1):
+        _, links, joined = search(classes, parts, bare, threshold, k, trees, seed, kind)
         share = audit(classes, links, threshold, audit_size, kind)
-        if share >= min_recall or trees >= 128:
+        if share >= min_recall:
             break
-        trees, seed = 2 * trees, seed + 1
+        if tried == max_tries:
+            raise RuntimeError(f"recall {share:.4f} is below {min_recall} with {trees} trees and lists of {k}")
+        trees, k, seed = 2 * trees, 2 * k, seed + 1
     named = (
         classes.select("v", "class_id", "copies")
         .join(links, "v", "left")
@@ -317,7 +347,7 @@ def search(
     first = members.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(
         local_join(2, 4, slack, kind), PAIRS
     )
-    lists = descend(cut(listed(first, k)), bare, k, 3, slack, kind)
+    lists = descend(cut(listed(first, k)), bare, k, slack, kind)
     near = lists.filter(F.col("sim") >= slack).select("v", "w")
     blocks = cut(components(near))
     placed = (

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.embedding_dedup import embedding_dedup
+from quarry.llm import embedding_dedup as near
+from quarry.llm.embedding_dedup import audit, embedding_dedup
 from quarry.llm.html_extract import blocks, covered, decide, extract_main
 from quarry.llm.mixing import fit, mix_sources, targets
 from quarry.llm.ordinal import Model, Scorer, fit as fit_ordinal, features, grade_texts, train
@@ -107,6 +108,24 @@ def test_full_lists_do_not_hide_links_of_nested_groups(spark):
     assert {(r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()} == {(39, 0)}
 
 
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    hot = np.eye(32)[0] + 0.01 * r.standard_normal((300, 32))
+    rows = [(i, "hot", 1, x.tobytes()) for i, x in enumerate(hot)]
+    for i, x in enumerate(r.standard_normal((40, 32))):
+        rows += [(1000 + 2 * i + j, "pairs", 1, (x + 0.001 * j).tobytes()) for j in range(2)]
+    classes = spark.createDataFrame([(v, p, c, bytearray(b)) for v, p, c, b in rows], "v long, part string, copies long, vec binary")
+    whole = spark.createDataFrame([(v, 299 if v < 1000 else 1) for v, *_ in rows], "v long, links long")
+    assert audit(classes, whole, 0.93, 4096, "<f8") == 1.0
+    assert audit(classes, whole.filter("v < 1000"), 0.93, 4096, "<f8") == pytest.approx(300 / 380)
+
+    lost = spark.createDataFrame([], "v long, links long"), spark.createDataFrame([], "node long, root long")
+    monkeypatch.setattr(near, "search", lambda *_: (None, *lost))
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(hot[:9])], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup(df)
+
+
 def test_targets_stop_at_the_cap():
     got = targets({"a": 100, "b": 1000, None: 10}, (5, 2, 1), 1.5, 2.0)
     assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-6
