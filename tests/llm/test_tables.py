@@ -202,6 +202,20 @@ def test_repeats_decide_where_roles_do_not(spark):
     assert extract_main(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"group_pages": 4}, {"stretch_bytes": 300}])
+def test_repeats_count_over_a_whole_host(spark, limits):
+    notice = "we use cookies on this site to make it better for all our readers"
+    pages = []
+    for i in range(60):
+        own = " ".join(f"w{i}x{j}" for j in range(12))
+        extra = f"<p>{notice}</p><p>Log in</p>" if i % 15 == 0 else f"<p>pair {i // 2}</p>"
+        pages.append((i, f"https://a.example/{i}", f"<div><p>{own}</p>{extra}</div>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    whole = {r["page_id"]: r["text"] for r in extract_main(df).collect()}
+    assert not any("cookies" in t or "Log" in t for t in whole.values()) and "pair 3" in whole[7]
+    assert {r["page_id"]: r["text"] for r in extract_main(df, **limits).collect()} == whole
+
+
 def test_whole_pages_of_the_table(spark):
     def truth(page):
         inner = page[page.index("<article>") + 9 : page.index("</article>")]
