@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, table
+from quarry.llm.common import cut, scratch, table
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.ordinal import grade_texts
@@ -28,18 +28,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grade_texts(docs, model).filter("kept").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stored number per row: ids may be null or repeat."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_n")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram similarity links: its smallest id."""
-    joined = ngram_join(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = numbered(docs)
+    kept = ngram_join(docs, keep=("_n",)).filter("kept").select("_n")
+    return docs.join(kept, "_n", "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that an earlier document holds; emptied documents go."""
-    cut = substring_dedup(docs, keep=("text", "lang", "source"))
+    spans = substring_dedup(docs, keep=("text", "lang", "source"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return (
-        cut.select("doc_id", text.alias("text"), "lang", "source", "n_words", "n_removed")
+        spans.select("doc_id", text.alias("text"), "lang", "source", "n_words", "n_removed")
         .filter("n_words > n_removed")
         .select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
     )
@@ -47,9 +53,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mix_sources(docs).filter("times > 0").select("doc_id", "times")
+    docs = numbered(docs)
+    taken = mix_sources(docs, keep=("_n",)).filter("times > 0").select("_n", "times")
     return (
-        docs.join(taken, "doc_id")
+        docs.join(taken, "_n")
         .select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_copy"))
         .select(*COLUMNS)
     )

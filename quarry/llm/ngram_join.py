@@ -13,7 +13,7 @@
 Defined results: texts with fewer words than an n-gram have one n-gram, their whole
 word sequence; texts without a word (null, empty, blank) link with nothing; words
 are taken unchanged; equal rows are one class and count as links of each other;
-rows that share an id stay rows of their own.
+rows that share an id, or have none, stay rows of their own; null ids come last.
 """
 
 from __future__ import annotations
@@ -208,15 +208,22 @@ def ngram_join(
     recall: float = 0.9999,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, class_id, n_links, component_id, kept) per row of ``docs``.
+    """(id, class_id, n_links, component_id, kept, _row, *keep) per row of ``docs``.
 
     ``n_links`` counts the other rows with Jaccard similarity >= ``similarity``,
     ``class_id`` is the smallest id with the same n-gram set, ``component_id`` the
     smallest id reachable by links; kept marks one row of each component.
     """
     bands, rows = banding(similarity, recall)
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    carried = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    every = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carried)
+    # what a class finds its text by; rows without an id are found by the text's hash
+    every = every.withColumn("_key", F.coalesce("_id", F.xxhash64("_text")))
+    slim = every.select("_id", "_text", "_key")
+
+    passed = [f for f in every.schema if f.name != "_text"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -229,15 +236,16 @@ def ngram_join(
                 for i, s in zip(full.tolist(), signatures(grams, first, bands, rows).tolist() if len(full) else []):
                     lists[i] = s
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(v), pa.array(lists, pa.list_(pa.int64()))], ["_id", "v", "bands"]
+                    [part.column(0), *(part.column(i) for i in range(2, part.num_columns)), pa.array(v), pa.array(lists, pa.list_(pa.int64()))],
+                    [f.name for f in passed] + ["v", "bands"],
                 )
         release()
 
-    signed = cut(slim.mapInArrow(sign, "_id long, v long, bands array<long>"))
+    signed = cut(every.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in passed) + ", v long, bands array<long>"))
     classes = cut(
         signed.filter("v >= 0")
         .groupBy("v")
-        .agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("_id").alias("class_id"), F.coalesce(F.min("_id"), F.min("_key")).alias("class_key"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
     banded = classes.select("v", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("v").alias("head"), F.count("*").alias("_n")).filter("_n > 1")
@@ -246,8 +254,8 @@ def ngram_join(
     tiles = blocks.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     placed = (
         blocks.join(tiles, "root")
-        .join(classes.select("v", "class_id", "copies"), blocks["node"] == F.col("v"))
-        .select("v", "class_id", "copies", "root", "tiles", F.pmod(F.xxhash64("v"), "tiles").cast("int").alias("tile"))
+        .join(classes.select("v", "class_key", "copies"), blocks["node"] == F.col("v"))
+        .select("v", "class_key", "copies", "root", "tiles", F.pmod(F.xxhash64("v"), "tiles").cast("int").alias("tile"))
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +273,7 @@ def ngram_join(
         release()
 
     held = (
-        slim.join(placed, slim["_id"] == placed["class_id"])
+        slim.join(placed, slim["_key"] == placed["class_key"])
         .select("_id", "_text", "v", "copies", "root", "tiles", "tile")
         .mapInArrow(sets, "v long, copies long, root long, tiles int, tile int, grams binary")
     )
@@ -292,20 +300,20 @@ def ngram_join(
     ).withColumn("root", F.coalesce("root", "v"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     per_class = named.join(least, "root").select(
-        "v", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+        "v", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "root"
     )
-    rows_ = signed.select("_id", "v", F.monotonically_increasing_id().alias("_row")).join(per_class, "v", "left")
-    return _keep_one(rows_, id_col)
+    rows_ = signed.select("_id", *(f"_keep_{i}" for i in range(len(keep))), "v", F.monotonically_increasing_id().alias("_row")).join(per_class, "v", "left")
+    return _keep_one(rows_, id_col, keep)
 
 
-def _keep_one(rows: DataFrame, id_col: str) -> DataFrame:
+def _keep_one(rows: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mark one row of each component: its smallest id, the first such row.
 
     The marks are joined back by row, so a component of very many rows is no task.
     """
     heads = (
-        rows.filter(F.col("_id") == F.col("component_id"))
-        .groupBy("component_id")
+        rows.filter(F.col("root").isNotNull() & F.col("_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
         .agg(F.min("_row").alias("_row"))
         .select("_row", F.lit(True).alias("_head"))
     )
@@ -314,6 +322,7 @@ def _keep_one(rows: DataFrame, id_col: str) -> DataFrame:
         F.coalesce("class_id", "_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "_id").alias("component_id"),
-        F.coalesce("_head", F.col("component_id").isNull()).alias("kept"),
+        F.coalesce("_head", F.col("root").isNull()).alias("kept"),
         "_row",
+        *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)),
     )

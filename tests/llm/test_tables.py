@@ -288,3 +288,15 @@ def test_pipeline_stages(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     text = {r["doc_id"]: r["text"] for r in kept[3]}
     assert all(r["ids"] == [*library.encode(text[r["doc_id"]]), 2] for r in kept[4]) and ids[4] == ids[3]
+
+
+def test_pipeline_keeps_rows_without_or_with_shared_ids(spark):
+    import corpus_pipeline as p
+
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    texts = [(None, words(0)), (None, words(0) + " end"), (None, words(1)), (7, words(2)), (7, words(3)), (7, words(3)), (8, words(3) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"].removesuffix(" end")) for r in p.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, words(0)), (None, words(1)), (7, words(2)), (7, words(3))], key=repr)
+    mixed = [r["text"] for r in p.mixture(spark, docs.limit(5).repartition(1), "").collect()]
+    assert set(mixed) == {t for _, t in texts[:5]} and max(mixed.count(t) for t in mixed) <= 2
