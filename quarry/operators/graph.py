@@ -7,6 +7,7 @@ anti-join; levels are cut to reliable storage so that plans stay short.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,16 +143,17 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, depth: int) -> DataFrame:
     return _spread(both.distinct(), focus, depth)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, kinds: tuple[str, ...], max_hops: int, *, alone: bool) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, kinds: tuple[str, ...], max_hops: int | None, *, alone: bool) -> DataFrame:
     """(id, path): for every node reached from ``sources`` its shortest path, the smallest among equals.
 
     ``alone``: sources count as paths of one node. Paths grow level by level; each
-    node keeps one, so a level is never larger than the set of nodes.
+    node keeps one, so a level is never larger than the set of nodes. Without ``max_hops``
+    the search goes on until no new node is found.
     """
     steps = edges.filter(F.col("type").isin(*kinds)).select(F.col("src").alias("id"), F.col("dst").alias("_to")).distinct()
     seen = cut(sources.select("id").distinct().withColumn("path", F.array(F.col("id"))))
     frontier = seen
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         grown = frontier.join(steps, "id").select(F.col("_to").alias("id"), F.concat("path", F.array("_to")).alias("path"))
         frontier = cut(grown.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
@@ -208,7 +210,7 @@ def tainted(hops: Column) -> Column:
     return F.exists(hops, lambda h: F.contains(h, F.lit("unsanitized"))) | F.forall(hops, lambda h: h == "")
 
 
-def flow_paths(nodes: DataFrame, edges: DataFrame, *, max_hops: int = 12, limit: int = 40) -> DataFrame:
+def flow_paths(nodes: DataFrame, edges: DataFrame, *, max_hops: int | None = None, limit: int = 40) -> DataFrame:
     """(kind, sink, path, hops, tainted): the shortest path from any entry to each sink, data flows first."""
     entries, sinks = nodes.filter("is_entry_point").select("id"), nodes.filter("is_sink").select("id")
     found = None

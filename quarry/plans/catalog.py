@@ -558,7 +558,7 @@ def f8_select_view(spark, d):
 def f9_flow_paths(spark, d):
     edges = g.merge_edges(roles.raw_edges(spark, d))
     names = lambda c: F.array_join(F.col(c).cast("array<string>"), ">")
-    found = g.flow_paths(roles.nodes(spark, d), edges, max_hops=6)
+    found = g.flow_paths(roles.nodes(spark, d), edges)
     return found.select("kind", "sink", names("path").alias("path"), F.array_join("hops", " / ").alias("hops"), "tainted")
 
 

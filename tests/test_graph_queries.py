@@ -109,3 +109,11 @@ def test_ambiguous_calls_bind_nothing(spark):
     assert got == {("a", "f"): 1, ("c", "f"): None, ("c", "h"): 3, ("c", "z"): None}
 
 
+
+
+def test_flow_paths_have_no_depth(spark):
+    nodes = spark.createDataFrame([(i, i == 0, i == 15) for i in range(16)], "id long, is_entry_point boolean, is_sink boolean")
+    edges = spark.createDataFrame(
+        [(i, i + 1, "calls", [], "", False) for i in range(15)], "src long, dst long, type string, data_vars array<string>, condition string, sanitized boolean"
+    )
+    assert [r["path"] for r in g.flow_paths(nodes, edges).collect()] == [list(range(16))]
