@@ -20,16 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is set, once per session.
+    Only a session on a single machine (tests) may name none; a temporary folder is
+    set there, once per session. On a cluster that is an error.
     """
-    held = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    held = spark.conf.get("spark.checkpoint.dir", None) or current
     if not held:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         held = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
+    if current is None:
         spark.sparkContext.setCheckpointDir(held)
     return held
 

@@ -41,10 +41,21 @@ def test_token_counts_equal_the_library():
     assert {" the", "a"} <= counter.whole
 
 
+def test_token_counts_of_long_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdeté") for _ in range(300_000)), "a" * 200_001, "ab" * 50_000, "!" * 70_000, " " * 50_000, "日" * 20_000]
+    library, counter = Tokenizer.from_file(path), Counter(path)
+    assert [counter.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "é x", 5), (3, "é x", 5), (4, "hi " * 1100, 5)], "doc_id long, text string, n_tokens int")
     got = sorted(map(tuple, token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()))
     assert got[:2] == [(1, 0, 0, False), (2, 0, 0, False)] and got[2] == got[3] and got[2][1] == 4 and got[4][3]
+    assert token_counts(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 @pytest.fixture(scope="module")
