@@ -18,7 +18,8 @@ BASE = 0x9E3779B97F4A7C13
 STEP = 0xD6E8FEB86659FD93
 assert BASE % 8 == 3 and STEP % 8 == 3
 
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Two independent tables: equal words agree in both, different ones in both with probability 2**-128.
+_TABLES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
@@ -62,8 +63,11 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Hashes of the words (runs without blank or U+0009..U+000D) of every text; null: none."""
+def words_of(texts: pa.Array, second: bool = False) -> Words:
+    """Hashes of the words (runs without blank or U+0009..U+000D) of every text; null: none.
+
+    ``second`` takes the other table, for a hash independent of the first.
+    """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     begin, end = int(offsets[0]), int(offsets[-1])
@@ -84,7 +88,7 @@ def words_of(texts: pa.Array) -> Words:
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
     up, down = _grow(len(data))
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_TABLES[int(second)][data] * up[: len(data)], out=sums[1:])
     return Words(mix((sums[e] - sums[s]) * down[s]), np.searchsorted(s, edges))
 
 
@@ -97,3 +101,13 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         h += words.hashes[k : k + n]
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     return mix(h), text[:n] == text[size - 1 : size - 1 + n]
+
+
+def sequences(words: Words) -> np.ndarray:
+    """Hash of every text's whole word sequence."""
+    n = len(words.hashes)
+    up, down = _grow(n)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(mix(words.hashes + U(STEP)) * up[:n], out=sums[1:])
+    at = words.first
+    return mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + words.counts.astype(U))

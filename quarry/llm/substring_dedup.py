@@ -1,20 +1,28 @@
 """Substring dedup: repeated fixed-length token windows, cut at every later document.
 
-Each 13-word window of every text gets a Rabin-Karp hash. Windows are dealt to
-buckets by the smallest 5-word hash inside them, so that equal windows meet and
-neighbours mostly travel together as one run; a bucket finds each hash's smallest
-id and returns the stretches whose windows also start under a smaller id. Per
-document the stretches merge into maximal removal intervals.
-
-What moves: 7 bytes per window (the hash is 64 bits with the bucket's part left
-implied where it can be), a few bytes per run, then the stretches, then each text
-once for the cut. A bucket is a bounded share of the windows: the number of buckets
-grows with the input's partitions. Hashes decide equality: two different windows of
-the whole input share one with probability n**2 / 2**65.
+1. Texts are packed into blocks of a bounded size, written once to the shared folder.
+2. A text whose whole word sequence also is that of a smaller id goes whole: all of its
+   windows start there too. It needs no further look, and no other text needs it.
+3. Seeds: the smallest 5-word hash inside each 13-word window; neighbouring windows
+   mostly share it. Equal windows have equal seeds, so a window whose seed occurs in
+   one block alone can repeat in that block only. Spark counts seeds over blocks.
+4. Every other window gets two independent 64-bit Rabin-Karp hashes. A block sends a
+   distinct window once, with its smallest id; Spark finds each window's smallest id
+   over all blocks, and the blocks that hold it under larger ids alone are told.
+5. Each block marks its windows that also start under a smaller id, there or in
+   another block, merges them into maximal removal intervals, and cuts its texts.
+
+A text or passage in a third of all documents is one row per block, however many
+documents hold it, so no task grows with its copies. What moves: about 16 bytes per
+seed, 25 per window that may repeat, and the compressed blocks. Texts and windows are
+equal if both hashes are, which two different windows of n in all meet with
+probability n**2 / 2**129.
 
 Defined results: a null text has no words; texts below the window length lose
-nothing; windows that repeat only inside one document stay; rows that share an id
-count as one document, so equal rows stay alike; a null id comes after all others.
+nothing; windows that repeat only inside one document stay; each row is cut on its
+own, rows that share an id don't cut each other, so equal rows stay alike; a null id
+comes after all others; very long texts are blocks of their own, cut whole; an empty
+table gives an empty result; extra columns are left out unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -23,37 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, slices
-from quarry.llm.rolling import mix, windows, words_of
+from quarry.llm.common import cut, release, slices
+from quarry.llm.rolling import Words, mix, sequences, windows, words_of
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
-#: Windows a map task gathers before it deals them out.
-FLUSH = 1_000_000
-
-
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each value, all first bytes first: equal bytes lie together for the compressor."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplanes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u8").reshape(-1)
-
-
-def raw7(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def unraw7(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return out.view("<u8").reshape(-1)
+#: Bytes of text in a block.
+BLOCK = 2 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,123 +53,158 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def deal(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
-    """One row per bucket: window hashes, and the runs (id, first word, length) they form."""
-    h, bucket, ids, at = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(bucket, kind="stable")
+# -- blocks --------------------------------------------------------------------
+
+
+def pack(column: int, limit: int):
+    """Arrow batches to rows (data, texts): about ``limit`` bytes of text, compressed, and their
+    distinct word sequences (k, l, lo): both hashes and the smallest id."""
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(one)
+        k, l, ids = text_keys(one)
+        order, heads = groups(k, l)
+        first = order[heads]
+        lo = np.minimum.reduceat(ids[order], heads)
+        texts = pa.StructArray.from_arrays([pa.array(x) for x in (k[first].view(np.int64), l[first].view(np.int64), lo)], ["k", "l", "lo"])
+        lists = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), lists], ["data", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for part in slices(batch, column, limit // 4):
+                held.append(part)
+                size += part.column(column).nbytes + 64 * part.num_rows
+                if size >= limit:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+        release()
+
+    return run
+
+
+def text_keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of each text's words, and its id."""
+    k, l = (sequences(words_of(rows.column(1), second)) for second in (False, True))
+    return k, l, rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+
+
+def unpack(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+
+
+class Block:
+    """Hashes of a block's windows; columns 0 and 1 are the id and the text.
+
+    ``told`` lists the (k, l) of word sequences that smaller ids hold elsewhere.
+    """
+
+    def __init__(self, data: pa.Scalar, told: pa.Scalar, window: int, seed_words: int):
+        self.rows = unpack(data.as_buffer())
+        self.window, self.seed_words = window, seed_words
+        self.words: Words = words_of(self.rows.column(1))
+        self.others: Words = words_of(self.rows.column(1), second=True)
+        self.ids = self.rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+        self.copies = later(sequences(self.words), sequences(self.others), self.ids, told)
+        text = np.repeat(np.arange(len(self.ids)), self.words.counts)
+        h, whole = windows(self.words, window)
+        self.at = np.flatnonzero(whole & ~self.copies[text[: len(h)]])  # first words of the windows, over the whole block
+        self.h = h[self.at]
+        self.owner = self.ids[text[self.at]]
+
+    def seeds(self) -> np.ndarray:
+        """The seed of each window."""
+        if not len(self.at):
+            return np.zeros(0, np.int64)
+        inner, _ = windows(self.words, self.seed_words)
+        return mix(sliding_min(inner, self.window - self.seed_words + 1)[self.at]).view(np.int64)
+
+    def second(self) -> np.ndarray:
+        """The other hash of each window."""
+        return windows(self.others, self.window)[0][self.at]
+
+
+def groups(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): positions sorted by both hashes, and where each distinct pair begins."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
     new = np.ones(len(h), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1)
-    head = np.flatnonzero(new)
-    length = np.diff(np.append(head, len(h)))
-    run_bucket = bucket[head]
-    run_order = np.argsort(run_bucket, kind="stable")
-    h = h[order]
-    found = np.unique(bucket)
-    window_ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))[found]
-    run_ends = np.cumsum(np.bincount(run_bucket, minlength=1 << bits))[found]
-    rid, rat, rlen = ids[head][run_order], at[head][run_order], length[run_order]
-    rows: list[list] = [[], [], [], [], []]
-    w0 = r0 = 0
-    for b, w1, r1 in zip(found.tolist(), window_ends.tolist(), run_ends.tolist()):
-        rows[0].append(b)
-        rows[1].append(raw7(h[w0:w1]))
-        rows[2].append(planes(np.diff(rid[r0:r1], prepend=0).astype(np.int64).view(U), 8))
-        rows[3].append(planes(rat[r0:r1].astype(U), 5))
-        rows[4].append(planes(rlen[r0:r1].astype(U), 4))
-        w0, r0 = w1, r1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["b", "h", "id", "at", "len"]
-    )
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return order, np.flatnonzero(new)
+
 
+def later(h: np.ndarray, g: np.ndarray, ids: np.ndarray, told: pa.Scalar) -> np.ndarray:
+    """Which of the keys (h, g) a smaller id holds as well, here or, as ``told``, elsewhere."""
+    n = len(h)
+    if told.is_valid:
+        other = [x.to_numpy().view(U) for x in told.values.flatten()]
+        h, g = np.concatenate([h, other[0]]), np.concatenate([g, other[1]])
+        ids = np.concatenate([ids, np.full(len(h) - n, np.iinfo(np.int64).min)])
+    order, heads = groups(h, g)
+    if not len(heads):
+        return np.zeros(0, bool)
+    least = np.empty(len(h), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(h))))
+    return ids[:n] > least[:n]
 
-def emit(window: int, seed_words: int, bits: int):
-    """Map side: documents to dealt windows."""
+
+def seeds_of(window: int, seed_words: int):
+    """(c, data, copies) to (m, c): the distinct seeds of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, data, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                m = np.unique(Block(data, copies, window, seed_words).seeds())
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.full(len(m), c, np.int64))], ["m", "c"])
         release()
-        held: list[tuple] = []
-        count = 0
+
+    return run
+
+
+def windows_of(window: int, seed_words: int):
+    """(c, data, copies, shared) to (h, g, c, lo): the distinct windows of each block over the
+    seeds it shares, with their smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 1 << 19):
-                ids = part.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-                words = words_of(part.column(1))
-                h, whole = windows(words, window)
-                if not whole.any():
+            for c, data, copies, shared in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
+                block = Block(data, copies, window, seed_words)
+                due = np.isin(block.seeds(), shared.values.to_numpy())
+                h, g, ids = block.h[due], block.second()[due], block.owner[due]
+                order, heads = groups(h, g)
+                if not len(heads):
                     continue
-                inner, _ = windows(words, seed_words)
-                bucket = (mix(sliding_min(inner, window - seed_words + 1)[: len(h)]) >> U(64 - bits)).astype(
-                    np.uint16 if bits <= 16 else np.uint32
+                one = order[heads]
+                lo = np.minimum.reduceat(ids[order], heads)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[one].view(np.int64)), pa.array(g[one].view(np.int64)), pa.array(np.full(len(one), c, np.int64)), pa.array(lo)],
+                    ["h", "g", "c", "lo"],
                 )
-                text = np.repeat(np.arange(len(ids)), words.counts)[: len(h)]
-                at = np.arange(len(h)) - words.first[text]
-                held.append((h[whole], bucket[whole], ids[text][whole], at[whole]))
-                count += int(whole.sum())
-                if count >= FLUSH:
-                    yield deal(held, bits)
-                    held, count = [], 0
-        if held:
-            yield deal(held, bits)
-        held = []
         release()
 
     return run
 
 
-def repeated(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches (id, first window, how many) of a bucket's windows that start under a smaller id too."""
-    h = np.concatenate([unraw7(r[0]) for r in rows])
-    rid = np.concatenate([np.cumsum(unplanes(r[1], 8).view(np.int64)) for r in rows])
-    rat = np.concatenate([unplanes(r[2], 5) for r in rows]).astype(np.int64)
-    rlen = np.concatenate([unplanes(r[3], 4) for r in rows]).astype(np.int64)
-    ids = np.repeat(rid, rlen)
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    head = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-    least = np.minimum.reduceat(ids[order], head)
-    flag = np.empty(len(h), bool)
-    flag[order] = ids[order] > np.repeat(least, np.diff(np.append(head, len(hs))))
-    if not flag.any():
-        return (np.zeros(0, np.int64),) * 3
-    ends = np.cumsum(rlen)
-    run = np.repeat(np.arange(len(rlen)), rlen)
-    at = np.arange(len(h)) - np.repeat(ends - rlen, rlen) + np.repeat(rat, rlen)
-    run, at, ids = run[flag], at[flag], ids[flag]
-    new = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)])
+def told(rows: DataFrame, h: str, g: str, name: str) -> DataFrame:
+    """(c, name): per block the keys of ``rows`` (h, g, c, lo) that another block holds under a smaller id."""
+    first = F.min("lo").over(Window.partitionBy(h, g))
+    return rows.withColumn("first", first).filter("first < lo").groupBy("c").agg(F.collect_list(F.struct(h, g)).alias(name))
+
+
+def intervals(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal [first word, word after the last) that sorted windows of one text cover, touching ones joined."""
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] > at[:-1] + window
     head = np.flatnonzero(new)
-    return ids[head], at[head], np.diff(np.append(head, len(at)))
-
-
-def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side, over rows in order of the bucket; holds one bucket at a time."""
-
-    def result(rows: list[tuple]) -> pa.RecordBatch:
-        ids, at, n = repeated(rows)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), pa.array(n)], ["_id", "at", "n"])
-
-    bucket, held = None, []
-    for batch in batches:
-        for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if b != bucket and held:
-                yield result(held)
-                held = []
-            bucket = b
-            held.append(tuple(row))
-    if held:
-        yield result(held)
-    held = []
-    release()
-
-
-def intervals(at: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal [first word, word after the last) of overlapping or touching stretches."""
-    out: list[tuple[int, int]] = []
-    for a, k in sorted(zip(at.tolist(), n.tolist())):
-        b = a + k - 1 + window
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    return at[head], at[np.append(head[1:], len(at))[: len(head)] - 1] + window
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -193,7 +215,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]
     kept, at = [], 0
     for a, b in spans:
         kept += words[at:a]
-        at = min(b, len(words))
+        at = b
     kept += words[at:]
     return len(words), len(words) - len(kept), b" ".join(kept)
 
@@ -203,6 +225,7 @@ def substring_dedup(
     *,
     window: int = 13,
     seed_words: int = 5,
+    block_bytes: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
@@ -211,52 +234,66 @@ def substring_dedup(
 
     ``spans`` are the maximal removal intervals in words, end excluded.
     """
-    spark = docs.sparkSession
-    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = min(24, max(9, (4 * parts - 1).bit_length()))
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    dealt = slim.mapInArrow(emit(window, seed_words, bits), "b int, h binary, id binary, at binary, len binary")
-    found = (
-        dealt.repartition("b").sortWithinPartitions("b").mapInArrow(find, "_id long, at long, n long")
-    )
-    per_doc = found.groupBy("_id").agg(F.collect_list(F.struct("at", "n")).alias("_found"))
     names = [f"_keep_{i}" for i in range(len(keep))]
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    joined = docs.select(
-        key.alias("_id"),
-        F.col(id_col).alias("_own"),
+    kinds = dict(docs.dtypes)
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).alias("_text"),
+        F.col(id_col).alias("_own"),
         *(F.col(c).alias(n) for c, n in zip(keep, names)),
-    ).join(per_doc, "_id", "left")
-    kinds = dict(docs.dtypes)
+    )
+    packed = slim.mapInArrow(pack(1, block_bytes), "data binary, texts array<struct<k:long,l:long,lo:long>>")
+    stored = cut(packed.select(F.monotonically_increasing_id().alias("c"), "data", "texts"))
+    blocks = stored.select("c", "data")
+    copies = told(stored.select("c", F.inline("texts")), "k", "l", "copies")
+    known = blocks.join(copies, "c", "left").select("c", "data", "copies")
+    shared = (
+        known.mapInArrow(seeds_of(window, seed_words), "m long, c long")
+        .withColumn("n", F.count("*").over(Window.partitionBy("m")))
+        .filter("n > 1")
+        .groupBy("c")
+        .agg(F.collect_list("m").alias("shared"))
+    )
+    found = known.join(shared, "c").select("c", "data", "copies", "shared").mapInArrow(
+        windows_of(window, seed_words), "h long, g long, c long, lo long"
+    )
+    repeats = told(found, "h", "g", "repeats")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for data, own, others in zip(*(batch.column(k) for k in range(3))):
+                block = Block(data, own, window, seed_words)
+                at = block.at[later(block.h, block.second(), block.owner, others)]
+                ends = np.searchsorted(at, block.words.first)
+                counts = block.words.counts
                 out: list[list] = [[], [], [], []]
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for k, text in enumerate(block.rows.column(1).to_pylist()):
                     spans = []
-                    if found:
-                        spans = intervals(*(np.array([f[k] for f in found], np.int64) for k in ("at", "n")), window)
+                    if block.copies[k] and counts[k] >= window:
+                        spans = [(0, int(counts[k]))]
+                    elif ends[k] < ends[k + 1]:
+                        own = at[ends[k] : ends[k + 1]] - block.words.first[k]
+                        spans = list(zip(*(x.tolist() for x in intervals(own, window))))
                     n, removed, kept = cut_words(text or "", spans)
-                    for x, v in zip(out, (n, removed, [{"start": a, "end": min(b, n)} for a, b in spans], kept)):
+                    for x, v in zip(out, (n, removed, [{"start": a, "end": b} for a, b in spans], kept)):
                         x.append(v)
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        block.rows.column(2),
                         pa.array(out[0], pa.int64()),
                         pa.array(out[1], pa.int64()),
                         pa.array(out[2], span),
                         pa.array(out[3], pa.binary()).cast(pa.string()),
-                        *(part.column(3 + i) for i in range(len(keep))),
+                        *(block.rows.column(3 + i) for i in range(len(keep))),
                     ],
                     ["_own", "n_words", "n_removed", "spans", "kept_text", *names],
                 )
+        release()
 
     schema = f"_own {kinds[id_col]}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
     schema += "".join(f", {n} {kinds[c]}" for c, n in zip(keep, names))
-    out = joined.select("_own", "_text", "_found", *names).mapInArrow(cut, schema)
+    out = known.join(repeats, "c", "left").select("data", "copies", "repeats").mapInArrow(finish, schema)
     return out.select(
         F.col("_own").alias(id_col),
         "n_words",

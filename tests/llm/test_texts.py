@@ -101,6 +101,28 @@ def test_substrings_equal_brute_force(spark):
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_rows_that_share_an_id_are_cut_each_on_its_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " " + c), (None, c), (None, c), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((x.doc_id, x.text, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup(docs, keep=("text",)).collect()), key=repr)
+    want = [(1, a, 30, 0, a), (2, a, 30, 30, ""), (2, b, 30, 0, b), (2, b, 30, 0, b), (3, b + " " + c, 60, 30, c)]
+    want += [(None, c, 30, 30, "")] * 2 + [(4, None, 0, 0, "")] * 2
+    assert got == sorted(want, key=repr)
+
+
+def test_substrings_of_a_hot_passage_and_of_long_texts(spark):
+    r = random.Random(11)
+    hot = " ".join(f"h{i}" for i in range(40))
+    words = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    rows = [(i, f"{words(r.randrange(30))} {hot} {words(r.randrange(30))}") for i in range(400)]
+    long = words(150_000)
+    rows += [(500, long), (501, "x " + long[1000:]), (502, words(40) + " " + long[5000:9000]), (503, "y" * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup(docs, block_bytes=20_000).collect()}
+    assert got == brute.substring(rows)
+
+
 def test_substring_spans_are_maximal(spark):
     a = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, a), (2, "x " + a + " y"), (None, a)], "doc_id long, text string")
