@@ -12,7 +12,6 @@ SECRETS = [
     ("aws_key", r"()(\bAKIA[0-9A-Z]{16}\b)"),
     ("private_key", r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
 ]
-UNSAFE_POC = [r"\brm\s+-rf\b", r"\bmkfs\b", r"\bdd\s+if=", r":\(\)\s*\{", r"\bshutdown\b", r"/dev/sd[a-z]"]
 
 
 def squash(c: Column, limit: int) -> Column:
@@ -38,11 +37,6 @@ def secret_categories(c: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in SECRETS))))
 
 
-def unsafe(c: Column) -> Column:
-    """Whether a script holds a destructive pattern."""
-    return F.coalesce(F.exists(F.array(*(c.rlike(p) for p in UNSAFE_POC)), lambda x: x), F.lit(False))
-
-
 def markdown(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\`*_{}\[\]()#+|<>-])", r"\\$1")
 
