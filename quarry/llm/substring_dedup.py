@@ -34,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, release, slices
+from quarry.llm.blocks import BLOCK, store, unpack
+from quarry.llm.common import release
 from quarry.llm.rolling import Words, mix, sequences, windows, words_of
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
-#: Bytes of text in a block.
-BLOCK = 2 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,49 +55,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 # -- blocks --------------------------------------------------------------------
 
 
-def pack(column: int, limit: int):
-    """Arrow batches to rows (data, texts): about ``limit`` bytes of text, compressed, and their
-    distinct word sequences (k, l, lo): both hashes and the smallest id."""
-
-    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(one)
-        k, l, ids = text_keys(one)
-        order, heads = groups(k, l)
-        first = order[heads]
-        lo = np.minimum.reduceat(ids[order], heads)
-        texts = pa.StructArray.from_arrays([pa.array(x) for x in (k[first].view(np.int64), l[first].view(np.int64), lo)], ["k", "l", "lo"])
-        lists = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
-        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), lists], ["data", "texts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            for part in slices(batch, column, limit // 4):
-                held.append(part)
-                size += part.column(column).nbytes + 64 * part.num_rows
-                if size >= limit:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
-        release()
-
-    return run
-
-
-def text_keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of each text's words, and its id."""
+def texts_of(rows: pa.RecordBatch) -> pa.Array:
+    """(k, l, lo): the distinct word sequences of a block, by both hashes, and their smallest id."""
     k, l = (sequences(words_of(rows.column(1), second)) for second in (False, True))
-    return k, l, rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-
-
-def unpack(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+    ids = rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+    order, heads = groups(k, l)
+    first = order[heads]
+    lo = np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0]
+    return pa.StructArray.from_arrays([pa.array(x) for x in (k[first].view(np.int64), l[first].view(np.int64), lo)], ["k", "l", "lo"])
 
 
 class Block:
@@ -108,7 +72,7 @@ class Block:
     """
 
     def __init__(self, data: pa.Scalar, told: pa.Scalar, window: int, seed_words: int):
-        self.rows = unpack(data.as_buffer())
+        self.rows = unpack(data)
         self.window, self.seed_words = window, seed_words
         self.words: Words = words_of(self.rows.column(1))
         self.others: Words = words_of(self.rows.column(1), second=True)
@@ -242,10 +206,9 @@ def substring_dedup(
         F.col(id_col).alias("_own"),
         *(F.col(c).alias(n) for c, n in zip(keep, names)),
     )
-    packed = slim.mapInArrow(pack(1, block_bytes), "data binary, texts array<struct<k:long,l:long,lo:long>>")
-    stored = cut(packed.select(F.monotonically_increasing_id().alias("c"), "data", "texts"))
+    stored = store(slim, "_text", block_bytes, texts_of, "struct<k:long,l:long,lo:long>")
     blocks = stored.select("c", "data")
-    copies = told(stored.select("c", F.inline("texts")), "k", "l", "copies")
+    copies = told(stored.select("c", F.inline("facts")), "k", "l", "copies")
     known = blocks.join(copies, "c", "left").select("c", "data", "copies")
     shared = (
         known.mapInArrow(seeds_of(window, seed_words), "m long, c long")

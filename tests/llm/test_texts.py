@@ -1,5 +1,6 @@
 """Token counts, piece codec, substring dedup, n-gram join, line rules."""
 
+import math
 import random
 
 import public_tokenizers
@@ -149,6 +150,8 @@ def edits(seed):
 @pytest.mark.parametrize("tile", [32, 256])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(nj, "TILE", tile)
+    monkeypatch.setattr(nj, "VERIFY_TILE", tile)
+    monkeypatch.setattr(nj, "VERIFY_BYTES", 100 * tile)
     rows = edits(3)
     got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).repartition(3)).collect()
     assert sorted((x.doc_id, x.n_links, x.component_id, x.kept) for x in got) == brute.jaccard(rows)
@@ -162,8 +165,23 @@ def test_ngram_join_of_equal_rows_keeps_one(spark):
 
 
 def test_banding_reaches_the_recall():
-    bands, rows = banding(0.8, 0.9999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+    bands, rows = banding(0.8, 0.999999)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+    more = math.ceil(math.log(1e-6) / math.log(1 - 0.8 ** (rows + 1)))
+    assert bands * rows <= 128 < more * (rows + 1)
+
+
+def test_ngram_join_of_long_texts_and_its_recall(spark):
+    r = random.Random(12)
+    long = [f"w{r.randrange(9000)}" for _ in range(60_000)]
+    near = long[:30_000] + ["x"] * 200 + long[30_200:]
+    texts = [" ".join(long), " ".join(near), " ".join(long[:20_000]), "z" * 300_000, "z" * 300_000, "a " * 50_000]
+    rows = [(2000 + i, t) for i, t in enumerate(texts)] + edits(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join(docs, block_bytes=50_000)
+    assert sorted((x.doc_id, x.n_links, x.component_id, x.kept) for x in got.collect()) == brute.jaccard(rows)
+    assert nj.measured_recall(docs, got, every=5) == 1.0
+    assert nj.measured_recall(docs, got.withColumn("n_links", F.lit(0)), every=5) == 0.0
 
 
 def test_line_rules(spark):
