@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm import embedding_dedup as near
 from quarry.llm.embedding_dedup import audit, embedding_dedup
-from quarry.llm.html_extract import blocks, covered, decide, extract_main
+from quarry.llm.html_extract import blocks, covered, decide, extract_main, furniture
 from quarry.llm.mixing import fit, mix_sources, targets
 from quarry.llm.ordinal import Model, Scorer, fit as fit_ordinal, features, grade_texts, train
 from quarry.llm.shards import CommitConflict, Manifest, ShardStore
@@ -172,48 +172,127 @@ def test_roles():
     assert [t for _, t in blocks("<p title='a>b'>x</p><!-- open")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        '<section id="related-work"><p>text</p></section>',
+        '<p class="share-price">text</p>',
+        '<div class="post social-history"><p>text</p></div>',
+        '<p data-id="share">text</p>',
+        '<svg/><p>text</p>',
+        '<svg width="1"/><p>text</p>',
+        '<iframe src="x"/><p>text</p>',
+        "<style-x/><p>text</p>",
+        "<nav/><p>text</p>",
+        '<p title="class=&quot;ad&quot;">text</p>',
+        '<iframe src="x"><p>no</p></iframe><svg><text>no</text></svg><p>text</p><div class="ad-slot">no</div><ul class="site-nav">no</ul>',
+    ],
+)
+def test_markup_keeps_the_article(inner):
+    assert [t for _, t in blocks(f"<article>{inner}</article>")] == ["text"]
+    assert [t for _, t in blocks(f"<div>{inner}</div>")] == ["text"]
+
+
+def test_names_of_furniture():
+    assert all(map(furniture, "ad ad-slot siteFooter main_nav comments-area cookie-banner breadcrumbs2".split()))
+    assert not any(map(furniture, "related-work share-price social-history post content main readme adventure list".split()))
+
+
+def covers(streams, size, pages):
+    held = {}
+    for s in streams:
+        for i in range(len(s) - size + 1):
+            held.setdefault(tuple(s[i : i + size]), set()).add(tuple(s))
+    want = [np.zeros(len(s), bool) for s in streams]
+    for k, s in enumerate(streams):
+        for i in range(len(s) - size + 1):
+            if len(held[tuple(s[i : i + size])]) >= pages:
+                want[k][i : i + size] = True
+    return want
+
+
 def test_suffixes_equal_brute_force():
     r = random.Random(8)
     for _ in range(30):
         streams = [np.array([r.randrange(3) for _ in range(r.randrange(0, 40))], np.int64) for _ in range(5)]
-        held = {}
-        for k, s in enumerate(streams):
-            for i in range(len(s) - 3):
-                held.setdefault(tuple(s[i : i + 4]), set()).add(k)
-        want = [np.zeros(len(s), bool) for s in streams]
-        for k, s in enumerate(streams):
-            for i in range(len(s) - 3):
-                if len(held[tuple(s[i : i + 4])]) >= 3:
-                    want[k][i : i + 4] = True
-        assert all((a == b).all() for a, b in zip(covered(streams, 4, 3), want))
+        streams.append(streams[0].copy())
+        number = {}
+        same = np.array([number.setdefault(s.tobytes(), len(number)) for s in streams])
+        assert all((a == b).all() for a, b in zip(covered(streams, same, 4, 3), covers(streams, 4, 3)))
+
+
+def host_truth(pages, size=8, least=3):
+    """Main texts of open pages (host, blocks) by the definition."""
+    out = []
+    hosts = {}
+    for host, page in pages:
+        hosts.setdefault(host, []).append(page)
+    for host, page in pages:
+        every = hosts[host]
+        streams = [" | ".join(p).split() for p in every]
+        mask = covers(streams, size, least)[every.index(page)]
+        kept, at = [], 0
+        for text in page:
+            words = text.split()
+            own = mask[at : at + len(words)]
+            at += len(words) + 1
+            twins = {tuple(s) for s, p in zip(streams, every) if len(words) < size and text in p}
+            left = " ".join(w for w, c in zip(words, own) if not c)
+            if left and len(twins) < least:
+                kept.append(left)
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_open_pages_equal_the_definition_whatever_the_size_of_hosts(spark):
+    r = random.Random(14)
+    notices = [" ".join(f"n{k}x{j}" for j in range(r.randrange(2, 25))) for k in range(6)]
+    pages = []
+    for i in range(120):
+        page = []
+        for _ in range(r.randrange(1, 6)):
+            own = " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(1, 30)))
+            kind = r.randrange(4)
+            page.append(own if kind < 2 else r.choice(notices) if kind == 2 else own + " " + r.choice(notices) + " tail" + str(i))
+        pages.append((r.choice("aab"), page))
+    pages += [pages[3]] * 4  # copies are one page
+    want = host_truth(pages)
+    html_of = lambda i, p: "".join(f"<div>{t}</div>" for t in p) if i % 2 else "<nav>Menu</nav><main>" + "".join(f"<p>{t}" for t in p) + "</main><div>out</div>"
+    rows = [(i, f"http://{h}.example/{i}", html_of(i, p)) for i, (h, p) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n, limit in ((1, 1 << 25), (7, 1 << 25), (1, 10), (5, 10)):
+        got = {x["page_id"]: x["text"] for x in extract_main(df.repartition(n), host_bytes=limit).collect()}
+        assert [got[i] for i in range(len(pages))] == want
 
 
 def test_repeats_decide_where_roles_do_not(spark):
     legal = "<div><p>This site uses text that every page repeats word by word again.</p></div>"
     pages = [(i, "http://h.org/x", f"<div><p>Story {i} " + " ".join(f"word{i}x{j}" for j in range(12)) + f"</p></div>{legal}<p>Back</p>") for i in range(6)]
     pages += [(50, "http://h.org/y", None), (51, None, ""), (52, "http://h.org/z", PAGE), (52, "http://h.org/z", PAGE)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {}
-    for r in extract_main(df).collect():
-        got.setdefault(r["page_id"], []).append(r)
-    assert all(got[i][0]["text"].startswith(f"Story {i} ") and "repeats" not in got[i][0]["text"] and "Back" not in got[i][0]["text"] for i in range(6))
-    assert got[50][0]["text"] == got[51][0]["text"] == "" and len(got[52]) == 2
-    assert got[52][0]["text"] == "Head & line\n\nOne two three.\n\nFour five." and got[52][0]["n_chars"] == len(got[52][0]["text"])
+    pages += [(60, "http://big.org/z", "<p>" + "long " * 200_000 + "</p>"), (61, "http://h.org/w", "<p>" + "a<br>" * 50_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("open", F.lit(1))
+    for limit in (1 << 25, 10):
+        got = {}
+        for r in extract_main(df, host_bytes=limit).collect():
+            got.setdefault(r["page_id"], []).append(r)
+        assert all(got[i][0]["text"].startswith(f"Story {i} ") and "repeats" not in got[i][0]["text"] and "Back" not in got[i][0]["text"] for i in range(6))
+        assert got[50][0]["text"] == got[51][0]["text"] == "" and len(got[52]) == 2
+        assert got[52][0]["text"] == "Head & line\n\nOne two three.\n\nFour five." and got[52][0]["n_chars"] == len(got[52][0]["text"])
+        assert got[60][0]["n_chars"] == 999_999 and got[61][0]["n_chars"] == 99_999
     assert extract_main(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"group_pages": 4}, {"stretch_bytes": 300}])
-def test_repeats_count_over_a_whole_host(spark, limits):
+def test_a_rare_notice_goes_from_a_large_host(spark):
     notice = "we use cookies on this site to make it better for all our readers"
     pages = []
-    for i in range(60):
+    for i in range(3000):
         own = " ".join(f"w{i}x{j}" for j in range(12))
-        extra = f"<p>{notice}</p><p>Log in</p>" if i % 15 == 0 else f"<p>pair {i // 2}</p>"
+        extra = f"<p>{notice}</p><p>Log in</p>" if i % 300 == 0 else f"<p>pair {i // 2}</p>"
         pages.append((i, f"https://a.example/{i}", f"<div><p>{own}</p>{extra}</div>"))
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
-    whole = {r["page_id"]: r["text"] for r in extract_main(df).collect()}
-    assert not any("cookies" in t or "Log" in t for t in whole.values()) and "pair 3" in whole[7]
-    assert {r["page_id"]: r["text"] for r in extract_main(df, **limits).collect()} == whole
+    for limit in (1 << 25, 1000):
+        got = {r["page_id"]: r["text"] for r in extract_main(df, host_bytes=limit).collect()}
+        assert not any("cookies" in t or "Log" in t for t in got.values()) and "pair 3" in got[7]
 
 
 def test_whole_pages_of_the_table(spark):
@@ -225,7 +304,7 @@ def test_whole_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {r["page_id"]: truth(r["html"]) for r in pages.collect()}
     assert {r["page_id"]: r["text"] for r in extract_main(pages).collect()} == want
-    assert decide([[(1, "a")]], 8, 3, 0.8) == ["a"]
+    assert decide([["a"]], 8, 3) == ["a"]
 
 
 def test_ordinal_thresholds_and_order():
