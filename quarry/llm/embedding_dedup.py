@@ -2,25 +2,32 @@
 
 1. Equal vectors of one label are one class. Random-hyperplane trees, as many as a
    pair at the threshold needs to meet in a leaf with the target probability, give
-   each class first neighbours; large leaves are cut by hash.
-2. NN-descent: the neighbours and reverse neighbours of every class are compared
-   with each other, better ones replace worse ones, until the lists stand still.
-3. Lists are full long before a group of thousands is listed. So no threshold edge
-   that a comparison meets is thrown away for its rank: each leaf and local join
-   hands on a spanning forest of all of its own. The components of these edges and
-   the lists' are the enlarged lists, compared whole in double precision, tile by tile.
-4. Recall is audited: a seeded sample of classes, dealt over the labels and over those
+   each class its first neighbours; large leaves are cut by hash.
+2. NN-descent: the neighbours and reverse neighbours of a class are compared with each
+   other; better ones replace worse ones, round by round.
+3. A list that is full of threshold edges is saturated: the room for such edges doubles,
+   round by round, up to ``room``, and the search goes on until the lists stand still and
+   none that may still grow is saturated. In saturated neighbourhoods, where the lists of
+   all members hold nearly the same, a few members drawn anew each round stand for all.
+4. The threshold edges of the lists are the links; components follow from them. Only where
+   a class has more than ``room`` links, its component is compared whole, tile by tile:
+   listing m such members would take m**2 entries, counting their links takes m rows.
+5. Recall is audited: a seeded sample of classes, dealt over the labels and over those
    with and without a link found, meets all vectors of its label; recall is the mean
    over classes with true links. As long as it misses ``min_recall``, trees and lists
-   double and the search goes again; after ``max_tries`` searches that is an error.
+   double and the search goes on from the lists it has; after ``max_tries`` searches that
+   is an error.
 
 Defined results: vectors that are null, zero or hold null or non-finite components,
 and vectors with a null label, link with nothing; vectors of different lengths never
-link; equal rows count as links of each other; one output row per input row.
+link; equal rows count as links of each other; rows with a null id stay rows and come
+last; an empty table gives an empty result; other columns, whatever their names, are
+ignored; one output row per input row.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -36,6 +43,10 @@ from quarry.llm.tiles import FLUSH, LINKS, count_links, grouped, pair_tiles, pla
 LEAF, LEAF_LIMIT = 64, 256
 TILE = 1024
 BITS = 28
+#: Most threshold edges a list holds.
+ROOM = 256
+#: Members that stand for a saturated neighbourhood in each round.
+PIVOTS = 8
 
 
 def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,50 +83,30 @@ def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), top.ravel()
 
 
-def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the same members as the symmetric matrix ``near``: less than one a member."""
-    left = near.any(axis=1)
-    a, b = [], []
-    for start in np.flatnonzero(left).tolist():
-        if not left[start]:
-            continue
-        left[start] = False
-        todo = [start]
-        while todo:
-            i = todo.pop()
-            hits = np.flatnonzero(near[i] & left)
-            left[hits] = False
-            a.append(np.full(len(hits), i))
-            b.append(hits)
-            todo.extend(hits.tolist())
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(b or none)
-
-
-#: What local joins return; ``link`` rows are threshold edges that stay whatever their rank.
-PAIRS = "v long, w long, sim float, link boolean"
+#: What local joins return.
+PAIRS = "v long, w long, sim double"
 
 
 def local_join(keys: int, k: int, threshold: float, kind: str):
-    """Compare the members of each group with each other; each keeps its ``k`` best there,
-    the group a spanning forest of its threshold edges."""
+    """Compare the members of each group with each other; each keeps its ``k`` best there
+    and all of its threshold edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(held: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["v", "w", "sim", "link"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["v", "w", "sim"])
 
         held, size = [], 0
         for rows in grouped(batches, keys):
             if len(rows) < 2:
                 continue
             v = np.array([r[keys] for r in rows], np.int64)
-            x = matrix([r[keys + 1] for r in rows], kind).astype(np.float32)
+            x = matrix([r[keys + 1] for r in rows], kind)
             sims = x @ x.T
             a, b = best(sims, k)
-            c, d = forest(sims >= threshold)
-            link = np.repeat([False, True], [len(a), len(c)])
-            a, b = np.concatenate([a, c]), np.concatenate([b, d])
-            held.append((v[a], v[b], sims[a, b], link))
+            near = sims >= threshold
+            near[a, b] = True  # the diagonal is out
+            a, b = np.nonzero(near)
+            held.append((v[a], v[b], sims[a, b]))
             size += len(a)
             if size >= FLUSH:
                 yield batch(held)
@@ -161,38 +152,41 @@ def leaves(trees: int, seed: int, kind: str):
     return run
 
 
-def top(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best distinct neighbours of each class; ties fall by hash."""
+def listed(pairs: DataFrame, k: int, room: int, threshold: float) -> DataFrame:
+    """(v, w, sim, place): each class's ``k`` best distinct neighbours, and up to ``room`` threshold edges; ties fall by hash."""
     one = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), F.xxhash64("v", "w")))
-    return one.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
-
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), F.xxhash64("v", "w")))
+    held = one.withColumn("place", place).filter(F.col("place") <= max(k, room))
+    return held.filter((F.col("place") <= k) | (F.col("sim") >= threshold))
 
-def listed(pairs: DataFrame, k: int) -> DataFrame:
-    """(v, w, sim, link, best): the ``k`` best neighbours of each class and all links."""
-    one = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("link").alias("link"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), F.xxhash64("v", "w")))
-    return one.withColumn("best", rank <= k).filter("best OR link")
 
+def descend(held: DataFrame, vectors: DataFrame, k: int, room: int, threshold: float, kind: str) -> DataFrame:
+    """Neighbours-of-neighbours rounds until the lists gain less than a thousandth and no list that may grow is saturated.
 
-def descend(held: DataFrame, vectors: DataFrame, k: int, threshold: float, kind: str) -> DataFrame:
-    """Neighbours-of-neighbours rounds until the lists gain less than a thousandth.
-
-    The sum of sim + 1 only grows and is bounded, so the rounds end.
+    The sum of sim + 1 and the number of threshold edges only grow and are bounded, so the rounds end.
     """
-    total = None
-    while True:
-        lists = held.filter("best").select("v", "w", "sim")
-        both = lists.union(lists.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
-        around = top(both, 2 * k).select(F.col("v").alias("u"), "w")
-        members = around.join(vectors, around["w"] == vectors["v"]).select("u", "w", "vec")
+    before, space = (None, None), min(2 * k, room)
+    for turn in itertools.count():
+        near = (F.col("sim") >= threshold).cast("long")
+        sizes = held.groupBy("v").agg(F.sum(near).alias("_near"))
+        both = held.select("v", "w", "sim").union(held.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
+        around = listed(both, 2 * k, space, threshold).select(F.col("v").alias("u"), "w")
+        # a saturated neighbourhood of s members is compared by about PIVOTS of them
+        draw = F.pmod(hashed("v", seed=1000 + turn), F.lit(1 << 20)) / (1 << 20)
+        pivots = sizes.filter((F.col("_near") <= 2 * k) | (draw * F.col("_near") < PIVOTS)).select(F.col("v").alias("u"))
+        members = around.join(pivots, "u", "left_semi").join(vectors, around["w"] == vectors["v"]).select("u", "w", "vec")
         found = members.repartition("u").sortWithinPartitions("u").mapInArrow(local_join(1, 3, threshold, kind), PAIRS)
-        held = cut(listed(held.drop("best").union(found), k))
-        now = held.filter("best").agg(F.sum(F.col("sim") + 1)).first()[0] or 0.0
-        if total is not None and now - total <= 0.001 * total:
-            break
-        total = now
-    return held
+        held = cut(listed(held.select("v", "w", "sim").union(found), k, space, threshold))
+        per = held.groupBy("v").agg(F.sum(near).alias("_near"), F.sum(F.when(F.col("place") <= k, F.col("sim") + 1)).alias("_best"))
+        got = per.agg(F.sum("_best"), F.sum("_near"), F.max("_near")).first()
+        now = got[0] or 0.0, got[1] or 0
+        saturated = (got[2] or 0) >= space
+        still = before[0] is not None and now[0] - before[0] <= 0.001 * before[0] and now[1] - before[1] <= 0.001 * before[1]
+        before = now
+        if saturated and space < room:
+            space = min(2 * space, room)
+        elif still:
+            return held
 
 
 def near_pairs(threshold: float, kind: str):
@@ -273,6 +267,7 @@ def embedding_dedup(
     recall: float = 0.999,
     min_recall: float = 0.995,
     k: int = 6,
+    room: int = ROOM,
     audit_size: int = 4096,
     max_tries: int = 6,
     seed: int = 13,
@@ -285,21 +280,23 @@ def embedding_dedup(
     slim = vectors.select(
         F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"), F.col(label_col).cast("string").alias("_l")
     )
-    rows = cut(slim.mapInArrow(prepare, "_id long, part string, vec binary").withColumn(
-        "v", F.when(F.col("vec").isNotNull(), F.xxhash64("part", "vec"))
+    rows = cut(slim.mapInArrow(prepare, "_id long, part string, vec binary").select(
+        "*", F.monotonically_increasing_id().alias("_row"), F.when(F.col("vec").isNotNull(), F.xxhash64("part", "vec")).alias("key")
     ))
+    # a class is named by its first row; the key only deals the rows, vectors decide
     classes = cut(
-        rows.filter("v IS NOT NULL")
-        .groupBy("v")
-        .agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"), F.first("part").alias("part"), F.first("vec").alias("vec"))
+        rows.filter("key IS NOT NULL")
+        .groupBy("key", "part", "vec")
+        .agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"), F.min("_row").alias("v"))
     )
     parts = classes.groupBy("part").agg(F.count("*").alias("_n"))
     most = parts.agg(F.max("_n")).first()[0] or 1
     depth = max(0, min(BITS, math.ceil(math.log2(max(most, 1) / LEAF))))
     trees = trees_for(threshold, recall, depth)
-    bare = classes.select("v", "vec")
+    held = None
     for tried in range(1, max_tries + 1):
-        _, links, joined = search(classes, parts, bare, threshold, k, trees, seed, kind)
+        held = search(classes, parts, held, threshold, k, max(k, room), trees, seed, kind)
+        links, joined = links_of(held, classes, threshold, max(k, room), kind)
         share = audit(classes, links, threshold, audit_size, kind)
         if share >= min_recall:
             break
@@ -307,16 +304,18 @@ def embedding_dedup(
             raise RuntimeError(f"recall {share:.4f} is below {min_recall} with {trees} trees and lists of {k}")
         trees, k, seed = 2 * trees, 2 * k, seed + 1
     named = (
-        classes.select("v", "class_id", "copies")
+        classes.select("v", "key", "part", "class_id", "copies")
         .join(links, "v", "left")
         .join(joined.select(F.col("node").alias("v"), "root"), "v", "left")
         .withColumn("root", F.coalesce("root", "v"))
     )
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     per_class = named.join(least, "root").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+        F.col("v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
-    out = rows.select("_id", "v").join(per_class, "v", "left")
+    of_class = classes.select("key", "part", "vec", F.col("v").alias("_class"))
+    linking = rows.filter("key IS NOT NULL").join(of_class, ["key", "part", "vec"]).select("_id", "_class").join(per_class, "_class")
+    out = linking.drop("_class").unionByName(rows.filter("key IS NULL").select("_id"), allowMissingColumns=True)
     component = F.coalesce("component_id", "_id")
     return out.select(
         F.col("_id").alias(id_col),
@@ -328,33 +327,48 @@ def embedding_dedup(
 
 
 def search(
-    classes: DataFrame, parts: DataFrame, bare: DataFrame, threshold: float, k: int, trees: int, seed: int, kind: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One pass of trees, descent and block comparison: (lists, links per class, components)."""
-    slack = threshold - 1e-4  # comparisons before the last are in single precision
+    classes: DataFrame, parts: DataFrame, known: DataFrame | None, threshold: float, k: int, room: int, trees: int, seed: int, kind: str
+) -> DataFrame:
+    """One pass of trees and descent from the lists that are ``known``: (v, w, sim, place)."""
+    bare = classes.select("v", "vec")
     deep = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("_n") / LEAF)))).cast("int")
-    coded = (
+    coded = cut(
         classes.select("v", "part", "vec")
         .join(parts, "part")
         .select("v", F.xxhash64("part").alias("p"), deep.alias("depth"), "vec")
         .mapInArrow(leaves(trees, seed, kind), "leaf long, v long, t int")
     )
-    coded = cut(coded)
     cuts = coded.groupBy("leaf").agg(F.count("*").alias("_m")).filter("_m > 1")
     salt = F.pmod(F.xxhash64("v", "t"), F.ceil(F.col("_m") / LEAF_LIMIT)).cast("int")
     in_leaf = coded.join(cuts, "leaf").select("leaf", salt.alias("salt"), "v")
     members = in_leaf.join(bare, "v").select("leaf", "salt", "v", "vec")
     first = members.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(
-        local_join(2, 4, slack, kind), PAIRS
+        local_join(2, 4, threshold, kind), PAIRS
+    )
+    if known is not None:
+        first = first.union(known.select("v", "w", "sim"))
+    return descend(cut(listed(first, k, min(2 * k, room), threshold)), bare, k, room, threshold, kind)
+
+
+def links_of(lists: DataFrame, classes: DataFrame, threshold: float, room: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """((v, links), components): from the lists' threshold edges; whole components where a list has no more room."""
+    near = lists.filter(F.col("sim") >= threshold)
+    over = near.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") >= room).select("v")
+    edges = cut(near.select("v", "w").union(near.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
+    joined = cut(components(edges))
+    listed_links = (
+        edges.join(classes.select(F.col("v").alias("w"), "copies"), "w").groupBy("v").agg(F.sum("copies").alias("links"))
     )
-    lists = descend(cut(listed(first, k)), bare, k, slack, kind)
-    near = lists.filter(F.col("sim") >= slack).select("v", "w")
-    blocks = cut(components(near))
+    crowded = cut(joined.join(over, F.col("node") == F.col("v"), "left_semi").select("root").distinct())
+    if crowded.isEmpty():
+        return cut(listed_links), joined
+    dense = joined.join(crowded, "root", "left_semi").select("node", "root")
     placed = (
-        place(blocks, TILE)
+        place(dense, TILE)
         .join(classes.select("v", "copies", "vec"), F.col("node") == F.col("v"))
         .select("root", "tiles", "tile", "v", "copies", "vec")
     )
-    compared = cut(pair_tiles(placed, ["v", "copies", "vec"]).mapInArrow(count_links(near_pairs(threshold, kind)), LINKS))
-    links = compared.filter("v IS NOT NULL").groupBy("v").agg(F.sum("links").alias("links"))
-    return lists, links, components(compared.filter("a IS NOT NULL").select("a", "b"))
+    compared = pair_tiles(placed, ["v", "copies", "vec"]).mapInArrow(count_links(near_pairs(threshold, kind)), LINKS)
+    counted = compared.filter("v IS NOT NULL").groupBy("v").agg(F.sum("links").alias("links"))
+    sparse = listed_links.join(dense.select(F.col("node").alias("v")), "v", "left_anti")
+    return cut(sparse.select("v", "links").union(counted.select("v", "links"))), joined

@@ -119,13 +119,43 @@ def test_audit_sees_lost_pairs_beside_a_hot_group(spark, monkeypatch):
     assert audit(classes, whole, 0.93, 4096, "<f8") == 1.0
     assert audit(classes, whole.filter("v < 1000"), 0.93, 4096, "<f8") == pytest.approx(300 / 380)
 
-    lost = spark.createDataFrame([], "v long, links long"), spark.createDataFrame([], "node long, root long")
-    monkeypatch.setattr(near, "search", lambda *_: (None, *lost))
+    monkeypatch.setattr(near, "search", lambda *_: spark.createDataFrame([], "v long, w long, sim double, place int"))
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(hot[:9])], "vec_id long, embedding array<double>, label int")
     with pytest.raises(RuntimeError, match="recall"):
         embedding_dedup(df)
 
 
+def planted(seed, groups, size, spread, pairs):
+    """Groups of ``size`` distinct vectors around centres, pairs, and lone vectors, with some equal rows."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    vectors = []
+    for _ in range(groups):
+        vectors += list(unit(r.standard_normal(48)) + spread * unit(r.standard_normal((size, 48))))
+    for x in unit(r.standard_normal((pairs, 48))):
+        vectors += [x, x + 0.25 * unit(r.standard_normal(48)), unit(r.standard_normal(48))]
+    vectors += [vectors[i] for i in r.integers(0, len(vectors), 40)]
+    order = r.permutation(len(vectors))
+    return [(int(i), vectors[j].tolist(), 1 + int(j) % 2 if j >= groups * size else 1) for i, j in enumerate(order)]
+
+
+def test_links_of_saturated_lists_come_from_the_lists(spark, monkeypatch):
+    rows = planted(3, 3, 90, 0.27, 60)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    monkeypatch.setattr(near, "pair_tiles", None)  # no component is compared whole
+    got = embedding_dedup(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == cosine_truth(rows)
+    assert max(r.n_links for r in got) > 60
+
+
+def test_links_of_large_groups(spark):
+    rows = planted(4, 2, 500, 0.26, 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = embedding_dedup(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == cosine_truth(rows)
+    assert max(r.n_links for r in got) > 300
+
+
 def test_targets_stop_at_the_cap():
     got = targets({"a": 100, "b": 1000, None: 10}, (5, 2, 1), 1.5, 2.0)
     assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-6
