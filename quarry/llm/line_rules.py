@@ -1,15 +1,18 @@
 """Quality rules from cross-document line frequency, DataFrame functions only.
 
 Every line with a word is normalised (white space to one blank, trimmed, lower
-case) and hashed together with its host. A line counts the *different* texts of
-its host that hold it, so exact copies of one document count once. Lines held by
-more than ``max_texts`` different texts are removed; a document that has lost
-more than ``max_lost`` of its words, or keeps fewer than ``min_words``, is
-depleted and rejected. Base rules on words and repeated word windows come first.
+case) and hashed together with its host. A line counts the distinct documents of its
+host that hold it. Its limit is a share of the host's documents, so that verdicts
+don't move as a corpus grows, but ``min_docs`` documents at least. Lines above it are
+removed; a document that has lost more than ``max_lost`` of its words, or keeps fewer
+than ``min_words``, is depleted and rejected. Base rules on words and repeated word
+windows come first.
 
 Defined results: a null text has no words and fails the base rules; null is a
-host of its own; equal rows are judged each on its own, one output row per input
-row; an empty table gives an empty result.
+host of its own; a document is an id, a row without id is one of its own; equal rows
+are judged each on its own, one output row per input row; very long texts are taken
+whole, in one row's memory; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -
     return df.select(
         "_row",
         "_id",
-        F.xxhash64("_text").alias("_content"),
+        F.xxhash64(host.isNull(), host).alias("_host"),
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -96,7 +99,8 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -
 def line_rules(
     docs: DataFrame,
     *,
-    max_texts: int = 20,
+    max_share: float = 0.01,
+    min_docs: int = 10,
     max_lost: float = 0.7,
     min_words: int = 20,
     id_col: str = "doc_id",
@@ -106,20 +110,24 @@ def line_rules(
     """Base counts, words lost to frequent lines, and the verdict, per row of ``docs``.
 
     The texts are read once; what goes on is a few numbers per document and line,
-    cut to the shared folder. Counting is pre-aggregated twice (per line and text,
+    cut to the shared folder. Counting is pre-aggregated twice (per line and document,
     then per line), so a line that a third of all documents share costs one row
     per map task; its join back to the documents is one that Spark may split.
     """
     facts = cut(document_facts(docs, id_col, text_col, host_col))
-    lines = facts.select("_row", "_content", F.explode("_keyed").alias("_line")).select(
-        "_row", "_content", F.col("_line.key").alias("_key"), F.col("_line.n").alias("_n")
+    own = F.when(F.col("_id").isNull(), F.col("_row")).alias("_own")  # a row without id is a document
+    sizes = facts.select("_host", "_id", own).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    lines = facts.select("_row", "_host", "_id", own, F.explode("_keyed").alias("_line")).select(
+        "_row", "_host", "_id", "_own", F.col("_line.key").alias("_key"), F.col("_line.n").alias("_n")
     )
     frequent = (
-        lines.select("_key", "_content")
+        lines.select("_key", "_host", "_id", "_own")
         .distinct()
-        .groupBy("_key")
-        .count()
-        .filter(F.col("count") > max_texts)
+        .groupBy("_key", "_host")
+        .agg(F.count("*").alias("_held"))
+        .filter(F.col("_held") > min_docs)
+        .join(sizes, "_host")
+        .filter(F.col("_held") > F.lit(float(max_share)) * F.col("_docs"))
         .select("_key")
     )
     lost = lines.join(frequent, "_key", "left_semi").groupBy("_row").agg(F.sum("_n").alias("_lost"))
@@ -127,7 +135,7 @@ def line_rules(
     left = F.col("n_words") - n_lost
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (n_lost > 0) & ((left < min_words) | (n_lost > max_lost * F.col("n_words")))
-    return facts.drop("_keyed").join(lost, "_row", "left").select(
+    return facts.drop("_keyed", "_host").join(lost, "_row", "left").select(
         F.col("_id").alias(id_col),
         "n_words",
         "word_chars",
@@ -140,7 +148,7 @@ def line_rules(
     )
 
 
-def line_rules_sql(max_texts: int = 20, max_lost: float = 0.7, min_words: int = 20) -> str:
+def line_rules_sql(max_share: float = 0.01, min_docs: int = 10, max_lost: float = 0.7, min_words: int = 20) -> str:
     """The same verdicts over the table ``documents``, in DuckDB's SQL."""
     return f"""
 WITH d AS (
@@ -159,7 +167,10 @@ ln AS (
   FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
-freq AS (SELECT source, norm FROM ln GROUP BY source, norm HAVING count(DISTINCT t) > {max_texts}),
+host AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+freq AS (
+  SELECT ln.source, norm FROM ln JOIN host ON host.source IS NOT DISTINCT FROM ln.source GROUP BY ln.source, norm, docs
+  HAVING count(DISTINCT doc_id) > greatest({min_docs}, {max_share}::DOUBLE * docs)),
 lost AS (
   SELECT ln.doc_id, sum(len(string_split(ln.norm, ' '))) AS lost
   FROM ln JOIN freq ON ln.norm = freq.norm AND ln.source IS NOT DISTINCT FROM freq.source GROUP BY ln.doc_id),

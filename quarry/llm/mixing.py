@@ -4,13 +4,15 @@ Sources in code-point order (null last) take the weights in turn and share
 ``share`` times all words; a target stops at ``cap`` times its source's words and
 the excess is shared again by weight. A source takes its whole documents
 ``target // size`` times over; the remaining budget is fitted on counts of
-documents by exact length: first in proportion to the counts, then the last
-stretch by a bounded-knapsack dynamic programme over the lengths still left.
-Which documents of a length are taken is decided by a seeded hash.
+documents by exact length: in proportion to the counts but for a last stretch of a
+few longest documents, which a bounded-knapsack dynamic programme fits over the
+documents still left. Which documents of a length are taken is decided by a seeded hash.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; null is
 a source of its own; equal rows count each on their own; reruns agree because all
-choices depend on ids and the seed alone; an empty table gives an empty result.
+choices depend on ids and the seed alone, between equal hashes on ids, between equal
+ids on none but the number of them; very long texts are counted whole; an empty table
+gives an empty result; columns with clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, cut, hashed
 
-#: The dynamic programme fits the last so many words, or as many as the longest length left.
-LAST = 16_384
+#: Longest documents' worth of words that the dynamic programme fits.
+RESERVE = 4
 
 #: Documents of one source and length are ranked within this many hash ranges.
 RANGES_BITS = 10
@@ -48,45 +50,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: flo
     return found
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, last: int = LAST) -> np.ndarray:
-    """How many documents of each length to take so that their words come to ``budget``.
-
-    Never more than there are, and never above the budget; the rest that stays
-    open is the smallest that the lengths left allow near the proportional choice.
-    """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    if budget <= 0:
-        return np.zeros_like(counts)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    rest = budget - int((taken * lengths).sum())
-    part = counts * (budget / total) - taken
-    for i in np.lexsort((lengths, -part)).tolist():
-        if rest <= last:
-            break
-        if taken[i] < counts[i] and lengths[i] <= rest:
-            taken[i] += 1
-            rest -= int(lengths[i])
-    items: list[tuple[int, int]] = []  # (index, how many)
+def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length come nearest to ``budget`` from below: a bounded-knapsack programme."""
+    taken = np.zeros_like(counts)
+    items: list[tuple[int, int]] = []  # (index, how many): powers of two, so that any number is a sum
     for i in np.argsort(-lengths, kind="stable").tolist():
-        left = min(int(counts[i] - taken[i]), rest // int(lengths[i]))
-        k = 1
+        left, k = min(int(counts[i]), budget // int(lengths[i])), 1
         while left > 0:
             items.append((i, min(k, left)))
             left -= k
             k *= 2
     items.sort(key=lambda x: x[1] * int(lengths[x[0]]), reverse=True)
-    reach = np.zeros(rest + 1, bool)
+    reach = np.zeros(budget + 1, bool)
     reach[0] = True
-    first = np.full(rest + 1, -1, np.int32)
+    first = np.full(budget + 1, -1, np.int32)  # the item with which a sum was reached first
     for j, (i, k) in enumerate(items):
-        if reach[rest]:
+        if reach[budget]:
             break
         step = int(lengths[i]) * k
         new = np.zeros_like(reach)
-        new[step:] = reach[: rest + 1 - step]
+        new[step:] = reach[: budget + 1 - step]
         new &= ~reach
         first[new] = j
         reach |= new
@@ -98,6 +81,30 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, last: int = LAST)
     return taken
 
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that their words come to ``budget``, never above it.
+
+    All but the last ``RESERVE`` longest documents' worth of the budget goes to the
+    lengths in proportion to their words; what a length can't use is handed to the next
+    shorter one. The programme fits what remains on all documents that are left. Its
+    size depends on the longest document alone, never on how many there are.
+    """
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    taken = np.zeros_like(counts)
+    if budget <= 0:
+        return taken
+    aim, due, spent = max(0, budget - RESERVE * int(lengths.max())), 0, 0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n, length = int(counts[i]), int(lengths[i])
+        due += n * length
+        taken[i] = min(n, (aim * due // total - spent) // length)
+        spent += int(taken[i]) * length
+    return taken + subset_sum(lengths, counts - taken, budget - spent)
+
+
 def mix_sources(
     docs: DataFrame,
     *,

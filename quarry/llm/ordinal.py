@@ -12,7 +12,9 @@ scoring covers every row.
 Defined results: a text without a word (null, empty, blank) has expected grade
 and tail probability 0 and is rejected; without any labelled row nothing is known
 and every text with a word is kept; labels with a null rating are left out;
-several ratings of one id count each; one output row per input row.
+several ratings of one id count each, as do several rows of one id; of rows with equal
+hashes the sample takes the smaller id, then the smaller rating; very long texts and
+words are taken whole; an empty table gives an empty result; one output row per input row.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed, release, slices
+from quarry.llm.common import WORD, hashed, release, slices
 
 BITS = 18
 #: Word features take the buckets below, shape features those from here on.
@@ -37,6 +39,9 @@ SHAPES = 3 << (BITS - 2)
 #: Features seen in fewer sampled documents, or whose means on the two sides of no
 #: threshold differ by so many standard errors, carry no weight.
 MIN_DOCS, MIN_Z = 8, 4.0
+_WORDS = re.compile(WORD)
+#: White space that ``str.split`` knows and the engine's words don't.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUNS = re.compile(r"(\W|_)\1+")
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]{2,}"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
 
@@ -48,12 +53,15 @@ def bucket(feature: str) -> int:
 
 
 def shape(word: str) -> str:
-    """Pattern of a word: runs of small letters, capitals, digits and equal signs shortened."""
-    return _RUNS.sub(r"\1\1", _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("AA", word[:64]))))[:12]
+    """Pattern of a whole word: runs of small letters, capitals, digits and equal signs shortened."""
+    return _RUNS.sub(r"\1\1", _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("AA", word))))
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.split() if text else []
+    """The engine's words: only blank and U+0009..U+000D part them."""
+    if not text:
+        return []
+    return _WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def repeated(words: list[str]) -> float:
@@ -95,6 +103,40 @@ class Model:
         return [1 / (1 + math.exp(min(60.0, max(-60.0, t - score)))) for t in self.thresholds]
 
 
+def cuts_of(theta: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the gaps."""
+    return theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))])
+
+
+def likelihood(
+    x: np.ndarray, n_weights: int, cols: np.ndarray, vals: np.ndarray, doc: np.ndarray, y: np.ndarray, grades: int, l2: float
+) -> tuple[float, np.ndarray]:
+    """Mean penalised negative log-likelihood of the cumulative-link model, and its gradient.
+
+    ``x`` holds the weights, then the thresholds as ``cuts_of`` reads them; feature ``cols[i]``
+    has the value ``vals[i]`` in row ``doc[i]``.
+    """
+    n, w, theta = len(y), x[:n_weights], x[n_weights:]
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    cuts = np.concatenate([[-np.inf], cuts_of(theta), [np.inf]])
+    score = np.bincount(doc, weights=vals * w[cols], minlength=n)
+    low, high = sig(score - cuts[y]), sig(score - cuts[y + 1])  # P(>= y), P(>= y + 1)
+    low, high = np.where(y == 0, 1.0, low), np.where(y == grades - 1, 0.0, high)
+    p = np.maximum(low - high, 1e-9)
+    dl, dh = low * (1 - low), high * (1 - high)
+    ds = -(dl - dh) / p / n
+    grad = np.empty_like(x)
+    grad[:n_weights] = np.bincount(cols, weights=vals * ds[doc], minlength=n_weights) + l2 * w / n
+    dcut = np.zeros(grades + 1)
+    np.add.at(dcut, y, dl / p / n)
+    np.add.at(dcut, y + 1, -dh / p / n)
+    inner = dcut[1:grades]
+    grad[n_weights] = inner.sum()
+    for k in range(1, grades - 1):
+        grad[n_weights + k] = inner[k:].sum() * math.exp(theta[k])
+    return float(-np.log(p).sum() / n + l2 * (w * w).sum() / 2 / n), grad
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 250, l2: float = 0.5) -> Model:
     """Penalised maximum likelihood by full-batch Adam; deterministic for given rows."""
     if not rows:
@@ -119,39 +161,22 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int
     fine = (seen[cols] >= MIN_DOCS) & (z[cols] >= MIN_Z)
     cols, vals, doc = cols[fine], vals[fine], doc[fine]
     used, cols = np.unique(cols, return_inverse=True)
-    w, n = np.zeros(len(used)), len(rows)
+    w = np.zeros(len(used))
     roof = np.where(used >= SHAPES, np.inf, 0.0)  # words only ever lower the score
     share = np.clip([np.mean(y >= k) for k in range(1, grades)], 0.01, 0.99)
     first, gaps = np.log(1 / share[0] - 1), np.diff(np.log(1 / share - 1))
     theta = np.concatenate([[first], np.log(np.maximum(gaps, 0.05))])  # threshold 1 and log gaps
     x = np.concatenate([w, theta])
     m, v = np.zeros_like(x), np.zeros_like(x)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
     for step in range(1, steps + 1):
-        w, theta = x[: len(used)], x[len(used) :]
-        cuts = np.concatenate([[-np.inf], theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))]), [np.inf]])
-        score = np.bincount(doc, weights=vals * w[cols], minlength=n)
-        low, high = sig(score - cuts[y]), sig(score - cuts[y + 1])  # P(>= y), P(>= y + 1)
-        low, high = np.where(y == 0, 1.0, low), np.where(y == grades - 1, 0.0, high)
-        p = np.maximum(low - high, 1e-9)
-        dl, dh = low * (1 - low), high * (1 - high)
-        ds = -(dl - dh) / p / n
-        grad = np.empty_like(x)
-        grad[: len(used)] = np.bincount(cols, weights=vals * ds[doc], minlength=len(used)) + l2 * w / n
-        dcut = np.zeros(grades + 1)
-        np.add.at(dcut, y, dl / p / n)
-        np.add.at(dcut, y + 1, -dh / p / n)
-        inner = dcut[1:grades]
-        grad[len(used)] = inner.sum()
-        for k in range(1, grades - 1):
-            grad[len(used) + k] = inner[k:].sum() * math.exp(theta[k])
+        _, grad = likelihood(x, len(used), cols, vals, doc, y, grades, l2)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         rate = 0.1 * (1 - 0.9 * step / steps)
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         x[: len(used)] = np.minimum(x[: len(used)], roof)
     w, theta = x[: len(used)], x[len(used) :]
-    cuts = theta[0] + np.concatenate([[0], np.cumsum(np.exp(theta[1:]))])
+    cuts = cuts_of(theta)
     return Model({int(b): float(c) for b, c in zip(used, w) if c}, tuple(map(float, cuts)))
 
 

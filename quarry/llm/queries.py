@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hashed, scratch, table
+from quarry.llm.common import cut, hashed, scratch, table
 from quarry.llm.embedding_dedup import embedding_dedup
 from quarry.llm.html_extract import extract_main
 from quarry.llm.line_rules import line_rules
@@ -28,21 +28,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append ``documents`` in arrivals, compact, and tell where each row lies."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, scratch(spark, "shards"), keep_versions=1)
-    part = F.pmod(hashed("doc_id", seed=1), F.lit(ARRIVALS))
-    for k in range(ARRIVALS):
-        store.append(docs.filter(part == k))
+    store.append_parts(docs, F.pmod(hashed("doc_id", seed=1), F.lit(ARRIVALS)))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)
     manifest = store.manifest()
     entries = spark.createDataFrame(
         [(s.path, i, s.level, s.rows, s.bytes) for i, s in enumerate(manifest.shards)],
         "shard string, shard_id int, level int, shard_rows long, shard_bytes long",
     )
-    return (
+    placed = cut(
         store.located(["doc_id", "n_chars"])
         .join(entries, "shard")
         .select("doc_id", "n_chars", "shard_id", "level", "shard_rows", "shard_bytes", F.lit(manifest.version).alias("version"))
     )
+    store.drop()  # its answer is stored; no one else reads it
+    return placed
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ from quarry.llm.components import components
 from quarry.llm import embedding_dedup as near
 from quarry.llm.embedding_dedup import audit, embedding_dedup
 from quarry.llm.html_extract import blocks, covered, decide, extract_main, furniture
-from quarry.llm.mixing import fit, mix_sources, targets
-from quarry.llm.ordinal import Model, Scorer, fit as fit_ordinal, features, grade_texts, train
-from quarry.llm.shards import CommitConflict, Manifest, ShardStore
+from quarry.llm.mixing import RESERVE, fit, mix_sources, subset_sum, targets
+from quarry.llm.ordinal import Model, Scorer, cuts_of, fit as fit_ordinal, features, grade_texts, likelihood, shape, train, words_of
+from quarry.llm.shards import CommitConflict, Manifest, Shard, ShardStore
 
 from . import brute
 
@@ -41,6 +41,62 @@ def test_shards_compact_by_tiers_and_keep_every_row(spark, tmp_path):
         store.append(spark.range(1).withColumnRenamed("id", "other"))
 
 
+def test_two_writers_of_a_store(spark, tmp_path, monkeypatch):
+    one, two = (ShardStore(spark, f"file://{tmp_path}/s", target_bytes=40_000, small_bytes=2_000) for _ in range(2))
+    one.append(spark.range(10).repartition(1))
+    written = one._written  # the other writer commits between this one's look and its commit
+    monkeypatch.setattr(one, "_written", lambda *a: (monkeypatch.setattr(one, "_written", written), two.append(spark.range(10, 20).repartition(4)), written(*a))[2])
+    one.append(spark.range(20, 30).repartition(4))
+    assert one.manifest().version == 3 and sorted(r["id"] for r in one.read().collect()) == list(range(30))
+    monkeypatch.setattr(one, "plan", lambda m, plan=one.plan: (monkeypatch.undo(), two.compact(), plan(m))[2])
+    merged = one.compact()
+    assert merged == two.manifest() and sorted(r["id"] for r in one.read().collect()) == list(range(30))
+
+
+def test_vacuum_removes_what_no_version_names(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", keep_versions=1)
+    store.append(spark.range(10).repartition(2))
+    spark.range(5).write.parquet(f"{tmp_path}/s/data/lost")  # a writer that never committed
+    (tmp_path / "s/manifest/.draft-x").write_text("{")
+    assert store.vacuum() == 0 and (tmp_path / "s/data/lost").exists()
+    assert store.vacuum(grace_seconds=-5) >= 2
+    assert not (tmp_path / "s/data/lost").exists() and not (tmp_path / "s/manifest/.draft-x").exists() and store.read().count() == 10
+    store.drop()
+    assert not (tmp_path / "s").exists()
+
+
+def test_arrivals_in_one_pass_and_clashing_names(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20)
+    rows = spark.createDataFrame([(i, f"x{i}", "y" * 300_000 if i == 7 else None) for i in range(50)], "id int, shard string, part_ string").repartition(3)
+    done = store.append_parts(rows, F.col("id") % 4)
+    assert done.version == 4 and sum(s.rows for s in done.shards) == 50
+    store.compact()
+    got = store.located(["id", "shard", "part_"])
+    assert got.columns == ["id", "shard", "part_", "shard_"]
+    assert sorted((r["id"], r["shard"], len(r["part_"] or "")) for r in got.collect()) == [(i, f"x{i}", 300_000 * (i == 7)) for i in range(50)]
+    assert {r["shard_"] for r in got.collect()} == {s.path for s in store.manifest().shards}
+    assert store.append_parts(rows.limit(0), F.col("id")) == store.manifest()
+
+
+def test_tiers_hold_similar_sizes_and_merges_end(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=100_000, small_bytes=1_000, fan_in=4)
+    r = random.Random(10)
+    for _ in range(200):
+        shards = tuple(Shard(f"data/{k}", int(10 ** r.uniform(1, 5.5)), 1, 0, 1) for k in range(r.randrange(40)))
+        total, steps = sum(s.bytes for s in shards), 0
+        while step := store.plan(Manifest(1, "{}", shards)):
+            run, files = step
+            sizes = [s.bytes for s in run]
+            assert max(sizes) < 50_000 and (max(sizes) <= 1_000 or max(sizes) <= 4 * min(sizes)) and 4 <= len(run) > files
+            smaller = [s for s in shards if store.tier(s) < store.tier(run[0])]
+            assert all(sum(store.tier(s) == t for s in smaller) < 4 for t in range(20))
+            left = [s for s in shards if s not in run]
+            shards = (*left, *(Shard(f"m{steps}-{k}", sum(sizes) // files, 1, 1, 1) for k in range(files)))
+            steps += 1
+        assert steps <= 40 and abs(sum(s.bytes for s in shards) - total) <= 40 * 40
+        assert all(sum(store.tier(s) == t for s in shards if s.bytes < 50_000) < 4 for t in range(20))
+
+
 def test_empty_store(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s")
     with pytest.raises(ValueError):
@@ -161,16 +217,42 @@ def test_targets_stop_at_the_cap():
     assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-6
 
 
+def nearest(lengths, counts, budget):
+    """The largest sum up to ``budget`` of at most so many of each length, by listing all sums."""
+    sums = {0}
+    for n, k in zip(lengths.tolist(), counts.tolist()):
+        sums = {x + j * n for x in sums for j in range(k + 1) if x + j * n <= budget}
+    return max(sums)
+
+
 def test_fit_comes_as_near_as_brute_force():
     r = random.Random(6)
-    for _ in range(60):
-        lengths = np.array(sorted(r.sample(range(3, 40), 5)))
-        counts = np.array([r.randrange(1, 4) for _ in lengths])
-        budget = r.randrange(0, int((lengths * counts).sum()) + 1)
+    for _ in range(150):
+        lengths = np.array(sorted(r.sample(range(3, 90), r.randrange(1, 7))))
+        counts = np.array([r.randrange(1, 30) for _ in lengths])
+        total = int((lengths * counts).sum())
+        budget = r.randrange(0, total + 1)
+        got = subset_sum(lengths, counts, budget)
+        assert (got <= counts).all() and (got >= 0).all() and int((got * lengths).sum()) == nearest(lengths, counts, budget)
         taken = fit(lengths, counts, budget)
-        assert (taken <= counts).all() and (taken >= 0).all() and 0 <= budget - int((taken * lengths).sum()) <= lengths.max()
-    big = fit(np.arange(1, 3000), np.full(2999, 7), 12_345_678)
-    assert int((big * np.arange(1, 3000)).sum()) == 12_345_678
+        spent = int((taken * lengths).sum())
+        assert (taken <= counts).all() and (taken >= 0).all() and spent <= budget
+        if budget <= RESERVE * lengths.max():
+            assert spent == nearest(lengths, counts, budget)
+        else:
+            assert nearest(lengths, counts, budget) - spent < lengths.max()
+    for budget in (12_345_678, 99_999, 31_000_001):
+        big = fit(np.arange(1, 3000), np.full(2999, 7), budget)
+        assert int((big * np.arange(1, 3000)).sum()) == budget
+
+
+def test_mix_of_ties_and_long_texts(spark):
+    rows = [(i // 2, "w " * 5, "a") for i in range(60)] + [(100, "w " * 300_000, "b"), (101, "w " * 200_000, "b"), (None, "w " * 5, "a"), (None, "w " * 5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mix_sources(docs.repartition(n)).collect() for n in (1, 5)]
+    assert sorted(runs[0], key=str) == sorted(runs[1], key=str)
+    by = {k: sum(r["taken"] for r in runs[0] if (r["size"] > 5) == k) for k in (False, True)}
+    assert by[False] == 620 and abs(by[True] - (1.5 * 500_310 - 620)) <= 100_000
 
 
 def test_mix(spark):
@@ -366,11 +448,49 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.08 and sum(toxic) / len(toxic) < 0.35
 
 
+def test_likelihood_by_its_definition_and_its_gradient():
+    r = np.random.default_rng(5)
+    n, m, grades = 40, 6, 4
+    x = np.concatenate([r.normal(size=m), [-0.4, 0.1, -0.3]])
+    dense = r.normal(size=(n, m)) * (r.random((n, m)) < 0.5)
+    doc, cols = np.nonzero(dense)
+    y = r.integers(0, grades, n)
+    args = (m, cols, dense[doc, cols], doc, y, grades, 0.5)
+    loss, grad = likelihood(x, *args)
+    tail = lambda s, k: 1.0 if k == 0 else 0.0 if k == grades else 1 / (1 + np.exp(cuts_of(x[m:])[k - 1] - s))
+    p = [tail(s, k) - tail(s, k + 1) for s, k in zip(dense @ x[:m], y)]
+    assert loss == pytest.approx(-np.log(p).mean() + 0.25 * (x[:m] ** 2).sum() / n)
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-6
+        assert grad[i] == pytest.approx((likelihood(x + step, *args)[0] - likelihood(x - step, *args)[0]) / 2e-6, abs=1e-6)
+    assert (np.diff(cuts_of(x[m:])) > 0).all()
+
+
+def test_words_and_shapes_are_whole():
+    assert words_of("a\x1cb\xa0c d\te\x0bf\u2003g") == ["a\x1cb\xa0c", "d", "e", "f\u2003g"]
+    assert shape("a1" * 50 + "!") != shape("a1" * 50 + "?") and shape("Abc9") == "Aa0"
+
+
 def test_grading_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, " "), (3, "word"), (3, "word")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["expected_grade"], r["kept"]) for r in grade_texts(docs, Model({}, (-60.0, -60.0))).collect())
     assert got[:2] == [(1, 0.0, False), (2, 0.0, False)] and [g[2] for g in got[2:]] == [True, True]
     assert train(docs, spark.createDataFrame([], "doc_id long, g int"), F.col("g"), 3).weights == {}
+    assert grade_texts(docs.limit(0), Model({}, (-60.0, -60.0))).count() == 0
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert [r["kept"] for r in grade_texts(long, Model({}, (-60.0, -60.0))).collect()] == [True, True]
+
+
+def test_the_sample_is_the_same_whatever_the_order(spark):
+    texts = [(i % 50, f"word{i % 7} text{i % 3} " * 4) for i in range(120)]
+    rated = [(i % 60, i % 3) for i in range(180)] + [(None, 1), (5, None), (6, 9)]
+    models = []
+    for n in (1, 4):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(n)
+        labels = spark.createDataFrame(rated, "doc_id long, g int").repartition(n)
+        models.append(train(docs, labels, F.col("g"), 3, max_rows=40))
+    assert models[0] == models[1]
 
 
 def test_pipeline_stages(spark, tmp_path):

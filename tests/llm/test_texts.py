@@ -184,18 +184,63 @@ def test_ngram_join_of_long_texts_and_its_recall(spark):
     assert nj.measured_recall(docs, got.withColumn("n_links", F.lit(0)), every=5) == 0.0
 
 
+def line_truth(rows, share, least, max_lost, min_words):
+    """(id, lost words, kept) per row by the definition, for documents with ids."""
+    norm = lambda line: " ".join(brute.WORDS.findall(line)).lower()
+    lines = [[norm(x) for x in (t or "").split("\n") if brute.WORDS.search(x)] for _, _, t in rows]
+    docs, held = {}, {}
+    for (i, host, _), own in zip(rows, lines):
+        docs.setdefault(host, set()).add(i)
+        for x in own:
+            held.setdefault((host, x), set()).add(i)
+    out = []
+    for (i, host, t), own in zip(rows, lines):
+        words = brute.WORDS.findall(t or "")
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        twice = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        lost = sum(len(x.split(" ")) for x in own if len(held[host, x]) > max(least, share * len(docs[host])))
+        fine = len(words) >= 50 and 100 * len(twice) <= 50 * len(words)
+        out.append((i, lost, fine and not (lost and (len(words) - lost < min_words or lost > max_lost * len(words)))))
+    return sorted(out)
+
+
+def test_line_rules_equal_their_definition_where_they_decide(spark):
+    r = random.Random(13)
+    common = [" ".join(f"c{k}x{j}" for j in range(r.randrange(5, 30))) for k in range(8)]
+    rows = []
+    for i in range(400):
+        lines = [r.choice(common).title() for _ in range(r.choice([0, 0, 1, 3]))] + [" ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(0, 5))]
+        r.shuffle(lines)
+        rows.append((i, r.choice(["a", "a", "b", None]), "\n".join(lines)))
+    rows += [(500, "a", None), (501, "a", ""), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("kept", F.lit(1)).repartition(3)
+    want = line_truth(rows, 0.05, 4, 0.5, 20)
+    got = line_rules(docs, max_share=0.05, min_docs=4, max_lost=0.5).collect()
+    assert sorted((x["doc_id"], x["n_lost_words"], x["kept"]) for x in got) == want
+    depleted = [x for x in got if not x["kept"] and not x["base_failed"]]
+    assert len(depleted) > 20 and sum(x["kept"] for x in got) > 20
+    assert line_rules(docs.limit(0)).count() == 0
+
+
+def test_line_rules_of_very_long_texts(spark):
+    rows = [(1, "s", " ".join(f"w{i}" for i in range(200_000))), (2, "s", "x" * 1_000_000 + "\n"), (3, "s", "a b c\n" * 50_000)]
+    got = {x["doc_id"]: x for x in line_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[1]["kept"] and got[1]["n_words"] == 200_000 and got[2]["base_failed"] and got[3]["n_repeat_words"] == 150_000 and got[3]["n_dup_lines"] == 49_999
+
+
 def test_line_rules(spark):
     text = lambda k: "\n".join(" ".join(f"{k}w{i}x{j}" for j in range(20)) for i in range(5))
     notice = "All Rights  reserved by the owner of this page"
     rows = [(i, "s", text(i) + "\n" + notice) for i in range(30)]
     rows += [(100 + i, "s", "\n".join([notice.upper()] * 8) + f"\nonly {i}") for i in range(5)]
-    rows += [(200 + i, "s", text("copy")) for i in range(40)]
     rows += [(300, "s", None), (301, None, ""), (302, None, "a b a b a b " * 20), (303, None, text("z")), (303, None, text("z"))]
+    rows += [(None, None, text("y"))] * 11 + [(400, "t", text("copy"))] * 40
     got = {}
     for r in line_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect():
         got.setdefault(r["doc_id"], []).append(r)
     assert all(got[i][0]["kept"] and got[i][0]["n_lost_words"] == 9 for i in range(30))
     assert not any(got[100 + i][0]["kept"] for i in range(5))
-    assert all(got[200 + i][0]["kept"] for i in range(40))  # copies are one text
+    assert len(got[400]) == 40 and all(x["kept"] for x in got[400])  # one document
+    assert len(got[None]) == 11 and not any(x["kept"] for x in got[None])  # eleven documents
     assert [got[i][0]["base_failed"] for i in (300, 301, 302)] == [True] * 3 and len(got[303]) == 2
     assert got[302][0]["n_repeat_words"] == got[302][0]["n_words"] == 120 and got[100][0]["n_dup_lines"] == 7
