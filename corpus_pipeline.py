@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept
 and returns a DataFrame; it is written as Parquet and read again as the next one's
-``docs``. All but the last return the columns of ``documents``.
+``docs``. All but the last return the columns of ``documents``; other columns are left
+out. An empty table gives an empty result at every stage, very long texts are taken
+whole, and null in ``lang``, ``source`` or ``n_chars`` stays as it is.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, scratch, table
 from quarry.llm.mixing import mix_sources
-from quarry.llm.ngram_join import ngram_join
+from quarry.llm.ngram_join import keep_one
 from quarry.llm.ordinal import grade_texts
 from quarry.llm.piece_codec import encode_decode
 from quarry.llm.queries import quality_model
@@ -23,7 +25,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier expects in the top grade."""
+    """Documents that the ordinal classifier expects in the top grade.
+
+    A text without a word (null, empty, blank) is rejected. Equal rows are judged alike;
+    ids don't matter but to find the labelled rows.
+    """
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     return grade_texts(docs, model).filter("kept").select(*COLUMNS)
 
@@ -34,14 +40,21 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity links: its smallest id."""
-    docs = numbered(docs)
-    kept = ngram_join(docs, keep=("_n",)).filter("kept").select("_n")
-    return docs.join(kept, "_n", "left_semi").select(*COLUMNS)
+    """One document of each group that n-gram similarity links: its smallest id.
+
+    Rows without id, and different texts under one id, are documents of their own; of
+    equal rows one stays; a text without a word links with nothing and stays.
+    """
+    return keep_one(docs.select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows that an earlier document holds; emptied documents go."""
+    """Texts without the words of windows that an earlier document holds; emptied documents go.
+
+    A text that loses nothing stays as it is, of others the kept words are joined by one
+    blank. A text without a word goes. A null id comes last; rows that share an id don't
+    cut each other.
+    """
     spans = substring_dedup(docs, keep=("text", "lang", "source"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return (
@@ -52,7 +65,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most.
+
+    Every row counts on its own, whatever its id; a null source is a source; a text
+    without a word is never taken.
+    """
     docs = numbered(docs)
     taken = mix_sources(docs, keep=("_n",)).filter("times > 0").select("_n", "times")
     return (
@@ -63,7 +80,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document, its end id included."""
+    """(doc_id, n_tokens, ids) of every row, its end id included; a null text has the end id alone."""
     ids = encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -327,7 +327,46 @@ def tiled(members: DataFrame, tiles: DataFrame, payload: list[str]) -> DataFrame
     )
 
 
-def ngram_join(
+def ngram_join(docs: DataFrame, **how) -> DataFrame:
+    """(id, class_id, n_links, component_id, kept, _row, *keep) per row of ``docs``.
+
+    ``n_links`` counts the other rows with Jaccard similarity >= ``similarity``,
+    ``class_id`` is the smallest id with the same n-gram set, ``component_id`` the
+    smallest id reachable by links; kept marks one row of each component. For ``how``
+    see ``linked``.
+    """
+    return linked(docs, **how)[0]
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are ``kept``, whole: one of each component.
+
+    They come out of the stored blocks by their numbers, so ids may be null or repeat.
+    """
+    text, names = how.get("text_col", "text"), docs.columns
+    result, blocks = linked(docs, **{**how, "keep": tuple(c for c in names if c != text)})
+    rows = result.filter("kept").groupBy(F.shiftright("_row", WITHIN).alias("c")).agg(F.collect_list("_row").alias("rows"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, data, kept in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = unpack(data)
+                yield own.select(own.schema.names[1:]).take(pa.array(np.sort(kept.values.to_numpy()) - (c << WITHIN)))
+        release()
+
+    stored = [text, *(c for c in names if c != text)]  # in the blocks' order
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"_c{i} {kinds[c]}" for i, c in enumerate(stored))
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in pick(batches):
+            yield out.rename_columns([f"_c{i}" for i in range(len(stored))])
+
+    out = blocks.join(rows, "c").select("c", "data", "rows").mapInArrow(renamed, schema)
+    return out.toDF(*stored).select(*(F.col(f"`{c}`") for c in names))
+
+
+def linked(
     docs: DataFrame,
     *,
     n: int = 5,
@@ -338,13 +377,8 @@ def ngram_join(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """(id, class_id, n_links, component_id, kept, _row, *keep) per row of ``docs``.
-
-    ``n_links`` counts the other rows with Jaccard similarity >= ``similarity``,
-    ``class_id`` is the smallest id with the same n-gram set, ``component_id`` the
-    smallest id reachable by links; kept marks one row of each component.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """What ``ngram_join`` returns, and the blocks (c, data) that hold the rows by their numbers."""
     bands, rows = banding(similarity, recall, max_hashes)
     names = [f"_keep_{i}" for i in range(len(keep))]
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(k) for c, k in zip(keep, names)))
@@ -405,7 +439,16 @@ def ngram_join(
 
     facts = cut(facts)
     banded = facts.select("node", "bands").mapInArrow(split, "band long, t int, node long")
-    size_of = banded.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # of buckets with the same classes the first band's stays: no pair belongs to a later one
+    same = F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y")
+    size_of = (
+        banded.groupBy("band")
+        .agg(F.count("*").alias("_n"), *same, F.min("t").alias("t"))
+        .filter("_n > 1")
+        .groupBy("_n", "_x", "_y")
+        .agg(F.min(F.struct("t", "band")).alias("_first"))
+        .select(F.col("_first.band").alias("band"), "_n")
+    )
     tiles = size_of.select("band", F.ceil(F.col("_n") / TILE).cast("int").alias("tiles"))
     buckets = banded.join(tiles.select("band"), "band", "left_semi").join(facts.select("node", "bands", "low"), "node")
     likely = cut(tiled(buckets, tiles, ["bands", "low"]).mapInArrow(estimate(similarity), "band long, t int, node long").distinct())
@@ -437,7 +480,7 @@ def ngram_join(
     )
     plain = signed.select("_id", "_row", *names, "v", "w")
     found = plain.filter("v IS NOT NULL").join(per_class, ["v", "w"])
-    return _keep_one(found.unionByName(plain.filter("v IS NULL"), allowMissingColumns=True), id_col, keep)
+    return _keep_one(found.unionByName(plain.filter("v IS NULL"), allowMissingColumns=True), id_col, keep), blocks
 
 
 def _keep_one(rows: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -529,3 +529,31 @@ def test_pipeline_keeps_rows_without_or_with_shared_ids(spark):
     assert sorted(got, key=repr) == sorted([(None, words(0)), (None, words(1)), (7, words(2)), (7, words(3))], key=repr)
     mixed = [r["text"] for r in p.mixture(spark, docs.limit(5).repartition(1), "").collect()]
     assert set(mixed) == {t for _, t in texts[:5]} and max(mixed.count(t) for t in mixed) <= 2
+
+
+def test_pipeline_stages_of_odd_tables(spark):
+    import corpus_pipeline as p
+
+    words = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, size int, kept string, c int"
+    extra = ("clash", 1, "clash", 2)
+    rows = [(1, words(1), "en", "s", 5), (1, words(1), "en", "s", 5), (2, None, None, None, None), (3, "", "en", None, 0), (4, " \n", None, "s", 2)]
+    rows += [(None, words(2), None, None, None), (5, words(3, 100_000), "en", "t", 9), (6, words(3, 99_000) + " end", "en", "t", 9)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema).repartition(3)
+    near_ = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert near_ == sorted([(1, words(1)), (2, None), (3, ""), (4, " \n"), (None, words(2)), (5, words(3, 100_000))], key=repr)
+    cut_ = {r["doc_id"]: r for r in p.substrings(spark, docs, "").collect()}
+    assert set(cut_) == {1, None, 5, 6} and cut_[6]["text"] == "end" and cut_[6]["n_chars"] == 3 and cut_[None]["source"] is None
+    mixed = [r["doc_id"] for r in p.mixture(spark, docs, "").collect()]
+    assert not {2, 3, 4} & set(mixed) and max(mixed.count(i) for i in (None, 5, 6)) <= 2 and mixed.count(1) <= 4
+    tokens = sorted(((r["doc_id"], r["n_tokens"]) for r in p.encoded(spark, docs, "").collect()), key=repr)
+    assert len(tokens) == 8 and (2, 1) in tokens and (3, 1) in tokens
+    none = docs.limit(0)
+    for _, stage in p.STAGES[1:]:
+        out = stage(spark, none, "")
+        assert out.count() == 0 and (stage is p.encoded or out.columns == list(p.COLUMNS))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
+    assert p.grade_texts(none, p.quality_model(none, labels)).count() == 0
+    first = p.quality(spark, docs, SF)
+    assert first.columns == list(p.COLUMNS) and not {2, 3, 4} & {r["doc_id"] for r in first.collect()}
+    assert p.quality(spark, none, SF).count() == 0
