@@ -18,10 +18,13 @@ CALL_SITE = r"\b([A-Za-z_]\w*)\s*\("
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the session's shared folder."""
+    """Checkpoint into the session's shared folder; only a session on one machine may name none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint(eager=True)
 
 
@@ -124,6 +127,7 @@ def reach(edges: DataFrame, targets: DataFrame, hops: int, kinds: tuple[str, ...
 
 
 def _spread(steps: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    steps = cut(steps)  # read and made distinct once, not once per level
     seen = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for level in range(1, hops + 1):
@@ -151,6 +155,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, kinds: tuple[str, ...],
     the search goes on until no new node is found.
     """
     steps = edges.filter(F.col("type").isin(*kinds)).select(F.col("src").alias("id"), F.col("dst").alias("_to")).distinct()
+    steps = cut(steps)
     seen = cut(sources.select("id").distinct().withColumn("path", F.array(F.col("id"))))
     frontier = seen
     for _ in itertools.count() if max_hops is None else range(max_hops):
@@ -213,6 +218,7 @@ def tainted(hops: Column) -> Column:
 def flow_paths(nodes: DataFrame, edges: DataFrame, *, max_hops: int | None = None, limit: int = 40) -> DataFrame:
     """(kind, sink, path, hops, tainted): the shortest path from any entry to each sink, data flows first."""
     entries, sinks = nodes.filter("is_entry_point").select("id"), nodes.filter("is_sink").select("id")
+    edges = cut(edges)
     found = None
     for kind in (DATA, CALLS):
         part = shortest_paths(edges, entries, (kind,), max_hops, alone=True).join(sinks, "id", "left_semi")

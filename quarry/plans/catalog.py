@@ -502,16 +502,21 @@ def f2_graph_rescue(spark, d):
     return pf.rescue_reached(nodes, nodes.filter(F.contains("name", F.lit("a"))), reached).select("id", "name")
 
 
+def _search_sql(name: str, kind: str) -> str:
+    """A table of the shortest path to every node reached from the entry points, the smallest among equals."""
+    return f"""{name}(id, path) USING KEY (id) AS (SELECT id, [id] FROM nodes WHERE is_entry_point
+  UNION SELECT e.dst, min(list_append(r.path, e.dst)) FROM {name} r JOIN edges e ON e.src = r.id AND e.type = '{kind}'
+  LEFT JOIN recurring.{name} known ON known.id = e.dst WHERE known.id IS NULL GROUP BY e.dst)"""
+
+
 def _path_sql(kind: str, alone: bool) -> str:
     return f"""WITH RECURSIVE {SQL},
-r(id, path) AS (SELECT id, [id] FROM nodes WHERE is_entry_point
-  UNION SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN edges e ON e.src = r.id AND e.type = '{kind}' WHERE len(r.path) < 5 AND NOT list_contains(r.path, e.dst)),
-s AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS k FROM r)
-SELECT id, array_to_string(path, '>') AS path FROM s WHERE k = 1 {'' if alone else 'AND len(path) > 1'}"""
+{_search_sql("reached", kind)}
+SELECT id, array_to_string(path, '>') AS path FROM reached {'' if alone else 'WHERE len(path) > 1'}"""
 
 
 def _paths(spark, d, kind, alone):
-    found = g.shortest_paths(roles.raw_edges(spark, d), roles.nodes(spark, d).filter("is_entry_point"), (kind,), 4, alone=alone)
+    found = g.shortest_paths(roles.raw_edges(spark, d), roles.nodes(spark, d).filter("is_entry_point"), (kind,), None, alone=alone)
     return found.select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -554,7 +559,20 @@ def f8_select_view(spark, d):
     return edges.select("src", "dst", "type").distinct()
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL}, {_search_sql("by_data", "data_flow")}, {_search_sql("by_calls", "calls")},
+both_ AS (SELECT 'data_flow' AS kind, id, path FROM by_data UNION ALL SELECT 'calls', id, path FROM by_calls),
+one AS (SELECT path, max(kind) AS kind, min(id) AS sink FROM both_ WHERE id IN (SELECT id FROM nodes WHERE is_sink) GROUP BY path),
+pairs AS (SELECT path, i, path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM one)),
+labels AS (
+  SELECT src, dst, string_agg(DISTINCT var, ', ' ORDER BY var) || CASE WHEN bool_and(sanitized) THEN ' (sanitized)' ELSE ' (unsanitized)' END AS label
+  FROM raw_edges WHERE type = 'data_flow' GROUP BY src, dst
+  UNION ALL SELECT src, dst, 'only ' || string_agg(DISTINCT condition, ' | ' ORDER BY condition) FROM raw_edges WHERE type = 'control_flow' GROUP BY src, dst),
+each AS (SELECT path, i, coalesce(string_agg(DISTINCT label, ' · ' ORDER BY label), '') AS hop FROM pairs LEFT JOIN labels USING (src, dst) GROUP BY path, i),
+joined AS (SELECT path, string_agg(hop, ' / ' ORDER BY i) AS hops, bool_or(contains(hop, 'unsanitized')) OR bool_and(hop = '') AS tainted FROM each GROUP BY path)
+SELECT kind, sink, array_to_string(one.path, '>') AS path, coalesce(hops, '') AS hops, coalesce(tainted, true) AS tainted
+FROM one LEFT JOIN joined USING (path) ORDER BY coalesce(tainted, true) DESC, kind DESC, len(one.path), one.path LIMIT 40"""
+)
 def f9_flow_paths(spark, d):
     edges = g.merge_edges(roles.raw_edges(spark, d))
     names = lambda c: F.array_join(F.col(c).cast("array<string>"), ">")

@@ -36,7 +36,6 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber = 1 AND l_quantity <= 15")
         .select(
             F.col("l_partkey").alias("src"),
             (F.col("l_orderkey") % n).alias("dst"),
@@ -58,6 +57,6 @@ raw_edges AS (
     SELECT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst,
            CASE l_returnflag WHEN 'R' THEN 'calls' WHEN 'A' THEN 'data_flow' ELSE 'control_flow' END AS type,
            l_linestatus AS var, 'month ' || month(l_shipdate) AS condition, l_discount >= 0.05 AS sanitized
-    FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 15) WHERE src <> dst),
+    FROM lineitem) WHERE src <> dst),
 edges AS (SELECT DISTINCT src, dst, type FROM raw_edges),
 chunks AS (SELECT doc_id AS id, source AS file, lang AS language, text AS code FROM documents)"""
