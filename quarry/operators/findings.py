@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clamp
-from quarry.operators.graph import cut
+from quarry.operators.graph import CALLS, DATA, cut, evidence, origin, shortest_paths
 
 CONFIRMED = ("confirmed", "conditional")
 
@@ -159,29 +159,100 @@ def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
 
 
-def sarif(findings: DataFrame) -> DataFrame:
-    """(run_id, sarif): one SARIF document per run from (run_id, ord, type, file, line, severity, message)."""
+def primary_location(files: Column, lines: Column) -> tuple[Column, Column]:
+    """(file, line) of a root cause: its first file, and the first reference ``file:line`` that ends in digits.
+
+    Lines begin at 1; without a file the reference's is taken, without either ``unknown``.
+    """
+    found = F.get(F.filter(lines, lambda x: x.rlike(r":\d+$")), 0)
+    own = F.coalesce(F.get(files, 0), F.lit(""))
+    file = F.when(own != "", own).otherwise(F.coalesce(F.regexp_extract(found, r"^(.*):\d+$", 1), F.lit("")))
+    line = F.greatest(F.coalesce(F.regexp_extract(found, r":(\d+)$", 1).try_cast("int"), F.lit(1)), F.lit(1))
+    return F.when(file != "", file).otherwise("unknown"), line
+
+
+def sarif_results(causes: DataFrame) -> DataFrame:
+    """(run_id, ord, json): one SARIF result per root cause (run_id, ord, finding_id, type, severity, summary,
+    root_cause, affected_files, affected_lines, cvss_vector, cvss_score).
+
+    Rows stay rows; ``write_sarif`` puts them together as text.
+    """
+    file, line = primary_location(F.col("affected_files"), F.col("affected_lines"))
+    text = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("summary", "root_cause")), F.col("type"))
     result = F.struct(
         F.col("type").alias("ruleId"),
         sarif_level(F.col("severity")).alias("level"),
-        F.struct(F.col("message").alias("text")).alias("message"),
+        F.struct(text.alias("text")).alias("message"),
         F.array(
             F.struct(
-                F.struct(
-                    F.struct(F.coalesce(F.when(F.col("file") != "", F.col("file")), F.lit("unknown")).alias("uri")).alias("artifactLocation"),
-                    F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine")).alias("region"),
-                ).alias("physicalLocation")
+                F.struct(F.struct(file.alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation")
             )
         ).alias("locations"),
+        F.struct(
+            F.format_string("%.1f", F.col("cvss_score").cast("double")).alias("security-severity"),
+            F.col("cvss_vector").alias("cvss-vector"),
+            F.col("finding_id").alias("finding-id"),
+        ).alias("properties"),
     )
-    results = findings.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", result.alias("r")))), lambda x: x["r"]).alias("results"))
-    firsts = findings.groupBy("run_id", "type").agg(F.min("ord").alias("ord"))
-    rules = firsts.groupBy("run_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "type"))), lambda x: F.struct(x["type"].alias("id"))).alias("rules")
+    return causes.select("run_id", "ord", F.to_json(result).alias("json"))
+
+
+def sarif_rules(causes: DataFrame) -> DataFrame:
+    """(run_id, ord, json): the distinct types of each run, numbered by where they come first."""
+    title = F.initcap(F.replace("type", F.lit("_"), F.lit(" ")))
+    rule = F.struct(F.col("type").alias("id"), F.col("type").alias("name"), F.struct(title.alias("text")).alias("shortDescription"))
+    return causes.groupBy("run_id", "type").agg(F.min("ord").alias("ord")).select("run_id", "ord", F.to_json(rule).alias("json"))
+
+
+def write_sarif(causes: DataFrame, run_id, path: str, tool: str = "quarry", version: str = "1") -> None:
+    """Write a run's SARIF 2.1.0 document as text files whose contents, in order of their names, are the document.
+
+    Results are sorted by ranges of ``ord``; no task holds them all.
+    """
+    own = causes.filter(F.col("run_id") == F.lit(run_id))
+    head = json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0"})[:-1]
+    spark = causes.sparkSession
+    fixed = lambda at, text: spark.createDataFrame([(at, 0, text)], "part int, ord long, json string")
+    rows = lambda at, df: df.select(F.lit(at).alias("part"), F.col("ord").cast("long"), "json")
+    each = [
+        fixed(0, f'{head}, "runs": [{{"tool": {{"driver": {{"name": {json.dumps(tool)}, "version": {json.dumps(version)}, "rules": ['),
+        rows(1, sarif_rules(own)),
+        fixed(2, ']}}, "results": ['),
+        rows(3, sarif_results(own)),
+        fixed(4, "]}]}"),
+    ]
+    lines = each[0]
+    for df in each[1:]:
+        lines = lines.union(df)
+    comma = F.when(F.col("part").isin(1, 3) & (F.col("ord") > F.col("_least")), F.lit(",")).otherwise(F.lit(""))
+    starts = lines.groupBy("part").agg(F.min("ord").alias("_least"))
+    ordered = lines.join(F.broadcast(starts), "part").repartitionByRange("part", "ord").sortWithinPartitions("part", "ord")
+    ordered.select(F.concat(comma, "json").alias("value")).write.mode("overwrite").text(path)
+
+
+def confirm(findings: DataFrame, nodes: DataFrame, edges: DataFrame, verdict: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Every finding (finding, file, line, function) with its node, path, evidence, origin and status.
+
+    The path is the shortest data flow from an entry point to the node; where there is
+    none the shortest chain of calls, else there is no path. ``verdict`` makes a column from
+    the evidence; it is asked for every finding, as a missing path proves nothing.
+    """
+    entries = nodes.filter("is_entry_point").select("id")
+    edges = cut(edges)
+    found = findings.join(locate(findings, nodes), "finding", "left")
+    data = shortest_paths(edges, entries, (DATA,), None, alone=False).select(F.col("id").alias("node"), F.col("path").alias("_data"))
+    call = shortest_paths(edges, entries, (CALLS,), None, alone=True).select(F.col("id").alias("node"), F.col("path").alias("_call"))
+    none = F.array().cast(dict(call.dtypes)["_call"])
+    placed = found.join(data, "node", "left").join(call, "node", "left").select(
+        "finding", "node",
+        F.coalesce("_data", "_call", none).alias("path"),
+        F.when(F.col("_data").isNotNull(), "data_flow").when(F.col("_call").isNotNull(), "calls").otherwise("none").alias("path_kind"),
     )
-    driver = F.struct(F.struct(F.lit("quarry").alias("name"), F.col("rules")).alias("driver")).alias("tool")
-    doc = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver, F.col("results"))).alias("runs"))
-    return results.join(rules, "run_id").select("run_id", F.to_json(doc).alias("sarif"))
+    proof = evidence(placed, edges, "finding").withColumn("tainted_vars", F.coalesce("tainted_vars", F.array().cast("array<string>"))).withColumn(
+        "unsanitized", F.coalesce("unsanitized", F.lit(False))
+    ).withColumn("guards", F.coalesce("guards", F.array().cast("array<string>")))
+    judged = proof.withColumn("verdict", (verdict or default_verdict)(proof))
+    return judged.withColumn("status", verdict_status(F.coalesce("verdict", F.lit("")))).withColumn("origin", origin(F.col("path"), F.col("verdict")))
 
 
 def to_json(findings: DataFrame) -> DataFrame:

@@ -45,33 +45,6 @@ def rescue_budget(kept: int, floor: int = 25, fraction: float = 0.1) -> int:
     return max(floor, int(kept * fraction))
 
 
-def rescue_similar(
-    chunks: DataFrame, queries: DataFrame, threshold: float, cap: int, *, key: str = "id", vector: str = "embedding"
-) -> DataFrame:
-    """Layer 3: the ``cap`` chunks most similar to any query, at least ``threshold``.
-
-    ``queries`` is the bounded list of profile queries; it is shipped as literals of
-    one broadcast row, and the top is a TakeOrderedAndProject.
-    """
-    held = [[float(x) for x in r[0]] for r in queries.select("embedding").collect()]
-    if not held:
-        return chunks.limit(0).withColumn("score", F.lit(0.0))
-    own = F.col(vector)
-    best = F.greatest(F.lit(-2.0), *(cosine(own, F.array(*map(F.lit, q)), F.col("_n")) for q in held))
-    return (
-        chunks.withColumn("_n", norm(own))
-        .withColumn("score", best)
-        .drop("_n")
-        .filter(F.col("score") >= threshold)
-        .orderBy(F.desc("score"), key)
-        .limit(cap)
-    )
-
-
-def in_paths(file: Column, paths: list[str]) -> Column:
-    return any_in(file, paths)
-
-
 def union_layers(chunks: DataFrame, layers: list[tuple[str, DataFrame]], key: str = "id") -> DataFrame:
     """Chunks any layer admitted, with the first that did as ``layer``."""
     marks = None
@@ -90,7 +63,7 @@ def scope(chunks: DataFrame, score: Column, boosted: Column, limit: int, key: st
 def entry_points(chunks: DataFrame, patterns: DataFrame, language: str = "language", code: str = "code") -> DataFrame:
     """First chunk per (file, name) with a pattern of its language. ``patterns``: (language, pattern)."""
     per = patterns.groupBy(F.col("language").alias("_l")).agg(F.collect_set("pattern").alias("_p"))
-    hit = chunks.join(F.broadcast(per), F.col(language) == F.col("_l")).filter(F.exists("_p", lambda p: F.contains(F.col(code), p)))
+    hit = chunks.join(per, F.col(language) == F.col("_l")).filter(F.exists("_p", lambda p: F.contains(F.col(code), p)))
     return hit.drop("_l", "_p").dropDuplicates(["file", "name"])
 
 
@@ -106,7 +79,7 @@ def is_entry(name: Column, decorators: Column, code: Column, pattern: Column) ->
 def detect_frameworks(chunks: DataFrame, frameworks: DataFrame, min_files: int = 1) -> DataFrame:
     """(id, files): frameworks a marker of which occurs in a chunk of their languages."""
     marked = frameworks.select("id", F.explode(F.concat(F.array("language"), F.col("also"))).alias("_l"), "markers")
-    hit = chunks.select("file", "language", "code").join(F.broadcast(marked), F.col("language") == F.col("_l"))
+    hit = chunks.select("file", "language", "code").join(marked, F.col("language") == F.col("_l"))
     hit = hit.filter(F.exists("markers", lambda m: F.contains("code", m)))
     return hit.groupBy("id").agg(F.countDistinct("file").alias("files")).filter(F.col("files") >= min_files)
 
@@ -132,7 +105,7 @@ def match_sinks(calls: DataFrame, patterns: DataFrame) -> DataFrame:
     by segments; others, and any where names aren't precise, by substring.
     """
     p = patterns.select(F.col("language").alias("_l"), "pattern", "sink_type", call_core(F.col("pattern")).alias("_core"))
-    joined = calls.join(F.broadcast(p), F.col("language") == F.col("_l"))
+    joined = calls.join(p, F.col("language") == F.col("_l"))
     by_name = F.exists("names", lambda n: segment_match(n, F.col("_core")))
     by_text = (F.col("_core").isNull() | ~F.col("precise")) & F.contains("code", F.col("pattern"))
     return joined.filter(F.coalesce(by_name, F.lit(False)) | by_text).select("id", "pattern", "sink_type").distinct()
@@ -149,10 +122,18 @@ def batches(df: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
 
 
 def match_qualified(calls: DataFrame, models: DataFrame, name: str = "name") -> DataFrame:
-    """Calls matched with the models whose pattern is qualified, that is holds a dot."""
+    """Calls matched with the models whose pattern is qualified, that is holds a dot.
+
+    A pattern matches a run of a name's segments; every run of two or more meets the
+    patterns by an equi-join, so the models may be as many as they like.
+    """
     core = call_core(F.col("pattern"))
     held = models.select("pattern", "sink_type", core.alias("_core")).filter(F.contains("_core", F.lit("."))).distinct()
-    return calls.join(F.broadcast(held), segment_match(F.col(name), F.col("_core"))).drop("_core").distinct()
+    parts = F.split(F.col(name), r"\.")
+    last = F.size(parts)
+    run = lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "."))
+    runs = F.when(last > 1, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), last - 1), run)))).otherwise(F.array().cast("array<string>"))
+    return calls.withColumn("_core", F.explode(runs)).join(held, "_core").drop("_core").distinct()
 
 
 def layered(*layers: Column) -> Column:

@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import seeds
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.operators import code_graph as cg
 from quarry.operators import findings as fo
+from quarry.operators import flow
 from quarry.operators import graph as g
 from quarry.operators import prefilter as pf
 from quarry.operators import vectors as vo
 from quarry.operators.chunking import split_lines
-from quarry.plans import roles
+from quarry.plans import roles, samples
 from quarry.plans.roles import SQL, table
 from quarry.sources import files, stores
 from quarry.streaming.streams import answered, pending, token_windows
@@ -113,8 +115,9 @@ def a12_app_type(spark, d):
 
 
 @query(
-    """SELECT source, count(*) AS files, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS digest
-FROM documents GROUP BY source"""
+    """WITH l AS (SELECT source, substring(sha256(doc_id::VARCHAR), 1, 3) AS r, doc_id || ':' || sha256(text) AS line FROM documents),
+g AS (SELECT source, r, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY source, r)
+SELECT source, sum(n)::BIGINT AS files, sha256(string_agg(r || ':' || digest, chr(10) ORDER BY r)) AS digest FROM g GROUP BY source"""
 )
 def a15_corpus_digest(spark, d):
     docs = table(spark, d, "documents").withColumn("hash", F.sha2("text", 256)).withColumn("path", F.col("doc_id").cast("string"))
@@ -479,6 +482,156 @@ def e14_condition(spark, d):
     return table(spark, d, "documents").select("doc_id", g.squash_condition(F.col("text")).alias("condition"))
 
 
+# -- sources of our own: what syntax trees and heads give ---------------------------
+
+
+def values(columns: str, rows: str) -> str:
+    """SQL of a table of stated rows, one per line."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({r.strip()})' for r in rows.strip().splitlines())}) t({columns})"
+
+
+@query(
+    values(
+        "id, name, qualname, kind, line_start, line_end",
+        """
+    'app/shop.py::0', '<module>', '<module>', 'module', 1, 5
+    'app/shop.py::1', 'order', 'order', 'function', 8, 14
+    'app/shop.py::2', 'describe', 'describe', 'function', 17, 19
+    'app/shop.py::3', 'run', 'run', 'function', 22, 23
+    'app/shop.py::4', 'run_safe', 'run_safe', 'function', 26, 27
+    'app/shop.py::5', 'Basket', 'Basket', 'class', 30, 43
+    'app/shop.py::6', 'total', 'Basket.total', 'method', 33, 37
+    'app/shop.py::7', 'put', 'Basket.put', 'method', 39, 40
+    'app/shop.py::8', 'flush', 'Basket.flush', 'method', 42, 43
+    'app/tool.py::0', 'run', 'run', 'function', 1, 2
+    'app/tool.py::1', 'main', 'main', 'function', 5, 7
+    'old/broken.py::0', 'half', NULL, NULL, 1, 2
+    'old/broken.py::1', 'other', NULL, NULL, 4, 5
+    'src/ping.c::0', 'ping', NULL, NULL, 3, 6
+    'src/ping.c::1', 'main', NULL, NULL, 8, 13""",
+    )
+)
+def b1_chunks(spark, d):
+    return samples.chunks(spark).select("id", "name", "qualname", "kind", "line_start", "line_end")
+
+
+@query(values("file, class, fields", "'app/shop.py', 'Basket', 'self.kept'"))
+def e2_class_fields(spark, d):
+    found = flow.class_fields(samples.chunks(spark).filter("language = 'python'"))
+    return found.select("file", "class", F.array_join("fields", ",").alias("fields"))
+
+
+@query(
+    values(
+        "src, resolved, data_vars, guards, returns_to, sanitized",
+        """
+    'app/shop.py::1', 'describe', 'item', '', 'note', false
+    'app/shop.py::1', 'quote', 'item', '', NULL, false
+    'app/shop.py::1', 'run', 'note', 'if mode == ''admin''', NULL, false
+    'app/shop.py::1', 'run_safe', 'item', '', NULL, true
+    'app/shop.py::3', 'subprocess.run', 'cmd', '', NULL, false
+    'app/shop.py::6', 'inner', '', '', NULL, false
+    'app/shop.py::8', 'os.system', 'self.kept', '', NULL, false
+    'app/tool.py::1', 'missing', 'argv', '', NULL, false
+    'app/tool.py::1', 'run', 'argv', '', NULL, false""",
+    )
+)
+def e5_call_records(spark, d):
+    chunks = samples.chunks(spark).filter("language = 'python'")
+    calls = g.expand_aliases(flow.calls(chunks, fields=flow.class_fields(chunks)), flow.aliases(samples.sources(spark).filter("language = 'python'")))
+    return calls.select("src", "resolved", flat("data_vars").alias("data_vars"), flat("guards").alias("guards"), "returns_to", "sanitized")
+
+
+@query(
+    values(
+        "id, decorators",
+        """
+    'app/shop.py::0', ''
+    'app/shop.py::1', 'app.route,logged'
+    'app/shop.py::2', ''
+    'app/shop.py::3', ''
+    'app/shop.py::4', ''
+    'app/shop.py::5', ''
+    'app/shop.py::6', 'property'
+    'app/shop.py::7', ''
+    'app/shop.py::8', ''
+    'app/tool.py::0', ''
+    'app/tool.py::1', ''""",
+    )
+)
+def e12_decorators(spark, d):
+    return cg.decorators(samples.chunks(spark)).select("id", flat("decorators").alias("decorators"))
+
+
+def _sample_graph(spark) -> dict[str, DataFrame]:
+    models = spark.createDataFrame([("subprocess.run", "command_injection"), ("os.popen", "command_injection")], "pattern string, sink_type string")
+    return cg.build_graph(samples.sources(spark), samples.chunks(spark), samples.patterns(spark), models)
+
+
+@query(
+    values(
+        "place, id, type, signature, is_entry_point, is_sink, tags",
+        """
+    1, 'app/shop.py::1', 'function', '@app.route("/order")', true, false, 'user_input'
+    2, 'app/shop.py::2', 'function', 'def describe(item):', false, false, ''
+    3, 'app/shop.py::3', 'function', 'def run(cmd):', false, true, ''
+    4, 'app/shop.py::4', 'function', 'def run_safe(cmd):', false, false, ''
+    5, 'app/shop.py::5', 'class', 'class Basket(Base):', false, false, ''
+    6, 'app/shop.py::6', 'method', '@property', false, false, ''
+    7, 'app/shop.py::7', 'method', 'def put(self, thing):', false, false, ''
+    8, 'app/shop.py::8', 'method', 'def flush(self):', false, true, ''
+    9, 'app/tool.py::0', 'function', 'def run(cmd):', false, false, ''
+    10, 'app/tool.py::1', 'function', 'def main(argv):', true, false, 'user_input'
+    11, 'old/broken.py::0', 'function', 'def half(:', false, true, ''
+    12, 'old/broken.py::1', 'function', 'def other(y)', false, false, ''
+    13, 'src/ping.c::0', 'function', 'static void ping(const char *host) {', false, true, ''
+    14, 'src/ping.c::1', 'function', 'int main(int argc, char **argv) {', true, false, 'user_input'
+    15, 'app/shop.py::0', 'module', '\"\"\"A shop.\"\"\"', false, false, ''""",
+    )
+)
+def e1_graph_nodes(spark, d):
+    place = F.row_number().over(Window.orderBy("ord"))  # a handful of rows
+    return _sample_graph(spark)["nodes"].select(place.alias("place"), "id", "type", "signature", "is_entry_point", "is_sink", flat("tags").alias("tags"))
+
+
+@query(
+    values(
+        "id, pattern, sink_type",
+        """
+    'app/shop.py::3', 'subprocess', 'unknown'
+    'app/shop.py::3', 'subprocess.run', 'command_injection'
+    'app/shop.py::8', 'os.system', 'unknown'
+    'old/broken.py::0', 'eval(', 'unknown'
+    'src/ping.c::0', 'system(', 'command_injection'""",
+    )
+)
+def e1_graph_sinks(spark, d):
+    return _sample_graph(spark)["sinks"]
+
+
+@query(
+    values(
+        "src, dst, type, data_vars, condition, sanitized",
+        """
+    'app/shop.py::1', 'app/shop.py::2', 'calls', '', '', false
+    'app/shop.py::1', 'app/shop.py::2', 'data_flow', 'item', '', false
+    'app/shop.py::1', 'app/shop.py::3', 'calls', '', '', false
+    'app/shop.py::1', 'app/shop.py::3', 'control_flow', '', 'if mode == ''admin''', false
+    'app/shop.py::1', 'app/shop.py::3', 'data_flow', 'note', '', false
+    'app/shop.py::1', 'app/shop.py::4', 'calls', '', '', false
+    'app/shop.py::1', 'app/shop.py::4', 'data_flow', 'item', '', true
+    'app/shop.py::2', 'app/shop.py::1', 'data_flow', 'note', '', false
+    'app/tool.py::1', 'app/tool.py::0', 'calls', '', '', false
+    'app/tool.py::1', 'app/tool.py::0', 'data_flow', 'argv', '', false
+    'old/broken.py::1', 'old/broken.py::0', 'calls', '', '', false
+    'src/ping.c::1', 'app/tool.py::1', 'calls', '', '', false
+    'src/ping.c::1', 'src/ping.c::0', 'calls', '', '', false""",
+    )
+)
+def e1_graph_edges(spark, d):
+    return _sample_graph(spark)["edges"].select("src", "dst", "type", flat("data_vars").alias("data_vars"), "condition", "sanitized")
+
+
 # -- F: graph queries --------------------------------------------------------------
 
 _REACH = f"""WITH RECURSIVE {SQL},
@@ -605,13 +758,20 @@ def f13_origin(spark, d):
 
 
 @query(
-    f"""WITH {SQL}, i AS (SELECT DISTINCT dst AS id, src || ':' || type AS note FROM edges WHERE type = 'data_flow')
-SELECT id, array_to_string(list_sort(list(note))[1:4], ',') AS notes FROM i GROUP BY id"""
+    f"""WITH {SQL},
+d AS (SELECT src, dst, string_agg(DISTINCT var, ', ' ORDER BY var) || '#' || CASE WHEN bool_and(sanitized) THEN ' (sanitized)' ELSE ' (unsanitized)' END AS note FROM raw_edges WHERE type = 'data_flow' GROUP BY 1, 2),
+c AS (SELECT src, dst, left(string_agg(DISTINCT condition, ' | ' ORDER BY condition), 80) AS condition FROM raw_edges WHERE type = 'control_flow' GROUP BY 1, 2),
+n AS (
+  SELECT dst AS id, 0 AS way, f.name AS other, replace(note, '#', ' from ' || f.name) AS note FROM d JOIN nodes f ON f.id = src JOIN nodes t ON t.id = dst
+  UNION ALL SELECT src, 1, t.name, replace(note, '#', ' to ' || t.name) FROM d JOIN nodes f ON f.id = src JOIN nodes t ON t.id = dst
+  UNION ALL SELECT src, 2, t.name, 'calls ' || t.name || ' only if ' || trim(condition) FROM c JOIN nodes f ON f.id = src JOIN nodes t ON t.id = dst),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, way > 0 ORDER BY way, other, note) AS k FROM n)
+SELECT id, coalesce(string_agg(note, '; ' ORDER BY k) FILTER (WHERE way = 0), '') AS incoming, coalesce(string_agg(note, '; ' ORDER BY k) FILTER (WHERE way > 0), '') AS outgoing
+FROM r WHERE k <= 4 GROUP BY id"""
 )
 def f14_flow_notes(spark, d):
-    edges = roles.raw_edges(spark, d).filter("type = 'data_flow'")
-    note = edges.select(F.col("dst").alias("id"), F.concat(F.col("src").cast("string"), F.lit(":"), "type").alias("note")).distinct()
-    return note.groupBy("id").agg(flat(F.slice(F.array_sort(F.collect_list("note")), 1, 4)).alias("notes"))
+    notes = cg.flow_notes(roles.nodes(spark, d), g.merge_edges(roles.raw_edges(spark, d)))
+    return notes.select("id", F.array_join("incoming", "; ").alias("incoming"), F.array_join("outgoing", "; ").alias("outgoing"))
 
 
 @query(
@@ -653,13 +813,18 @@ def g5_cosine(spark, d):
 
 
 _SCORE = """s AS (SELECT b.vec_id AS id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score
-FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY 1)"""
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)"""
 
 
-@query(f"WITH {_SCORE} SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.22 ORDER BY score DESC, id LIMIT 25")
+@query(
+    f"""WITH {_SCORE} SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.22 ORDER BY score DESC, id
+LIMIT (SELECT greatest(25, floor(count(*) * 0.1)::BIGINT) FROM embeddings WHERE label = 0)"""
+)
 def g6_semantic_rescue(spark, d):
-    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    got = vo.rescue_similar(vec.filter("id % 20 <> 0"), vec.filter("id % 20 = 0"), 0.22, pf.rescue_budget(50))
+    rows = table(spark, d, "embeddings")
+    vec = rows.select(F.col("vec_id").alias("id"), "embedding")
+    budget = pf.rescue_budget(rows.filter("label = 0").count())  # what earlier layers kept
+    got = vo.rescue_similar(vec, vec.filter("id % 20 = 0"), 0.22, budget)
     return got.select("id", F.round("score", 6).alias("score"))
 
 
@@ -682,21 +847,33 @@ def g8_exact_dedup(spark, d):
     return vo.exact_dedup(docs, "hash", "doc_id", F.col("source") == "src3").select("doc_id")
 
 
-@query()
+# besides the rows themselves, every third once more at another length and every fifth with a small change; such a row
+# is near to its original and the original's other offspring alone, so the loop's answer is that no earlier row is near
+@query(
+    """WITH v AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT 1000000000 + vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2) FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT 2000000000 + vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i % 16 = 1 THEN 0.02 ELSE 0 END) FROM embeddings WHERE vec_id % 5 = 0)
+SELECT id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.id < a.id AND list_cosine_similarity(a.e, b.e) > 0.95)"""
+)
 def g9_near_dedup(spark, d):
-    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vo.greedy_dedup(vec, vo.near_pairs(vec, 0.95), "id").select("id")
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    scaled = vec.filter("id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    moved = vec.filter("id % 5 = 0").select(
+        (F.col("id") + 2_000_000_000).alias("id"), F.transform("embedding", lambda x, i: x + F.when(i % 16 == 0, 0.02).otherwise(0.0)).alias("embedding")
+    )
+    return vo.near_dedup(vec.union(scaled).union(moved), 0.95).select("id")
 
 
 @query(
-    """WITH c AS (SELECT a.vec_id AS seed, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
+    """WITH c AS (SELECT a.vec_id AS seed, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS r FROM c WHERE sim >= 0.3),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seed) AS q FROM k WHERE r <= 10)
 SELECT id, seed, round(sim, 6) AS sim FROM b WHERE q = 1"""
 )
 def g10_neighbours(spark, d):
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    got = vo.neighbours(vec.filter("id % 20 = 0"), vec, 0.3, 10)
+    got = vo.neighbours(vec.filter("id % 20 = 0"), vec, 0.3, 10, among_seeds=True)
     return got.select("id", "seed", F.round("sim", 6).alias("sim"))
 
 
@@ -899,23 +1076,59 @@ def j8_tier_policy(spark, d):
     return table(spark, d, "events").join(F.broadcast(policy), "event_type", "left").select("event_id", F.coalesce("tier", F.lit("low")).alias("tier"))
 
 
-@query(
-    """WITH new AS (SELECT doc_id AS path, sha256(text) AS hash FROM documents), old AS (SELECT doc_id AS path, CASE WHEN toxic = 1 THEN 'x' ELSE sha256(text) END AS hash FROM documents JOIN labels USING (doc_id)
-UNION ALL SELECT -item_id - 1, sha256(text) FROM benchmark)
-SELECT coalesce(new.path, old.path) AS path, CASE WHEN new.path IS NULL THEN 'dropped' WHEN old.path IS NULL THEN 'added' WHEN new.hash = old.hash THEN 'reused' ELSE 'changed' END AS state FROM new FULL JOIN old ON new.path = old.path"""
-)
+_INDEX = """new AS (SELECT source || '/' || doc_id AS path, sha256(text) AS hash FROM documents WHERE lang <> 'de'),
+old AS (SELECT source || '/' || doc_id AS path, CASE WHEN toxic = 1 THEN 'x' ELSE sha256(text) END AS hash FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT 'src1' || CASE WHEN item_id % 2 = 0 THEN '/' ELSE '0/' END || 'gone' || item_id, sha256(text) FROM benchmark)"""
+
+
+def _merged(incremental: bool) -> str:
+    kept = "WHEN new.path IS NULL AND old.path <> 'src1' AND NOT starts_with(old.path, 'src1/') THEN 'kept'" if incremental else ""
+    reused = "WHEN new.hash = old.hash THEN 'reused'" if incremental else ""
+    return f"""SELECT {incremental} AS incremental, coalesce(new.path, old.path) AS path, coalesce(new.hash, old.hash) AS hash,
+  CASE {kept} WHEN new.path IS NULL THEN 'dropped' WHEN old.path IS NULL THEN 'added' {reused} ELSE 'changed' END AS state
+FROM new FULL JOIN old ON new.path = old.path"""
+
+
+@query(f"WITH {_INDEX} {_merged(True)} UNION ALL {_merged(False)}")
 def j12_incremental(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("path"), "toxic")
-    seen = docs.join(labels, "path").select(F.col("path").alias("p"), F.when(F.col("toxic") == 1, "x").otherwise(F.col("hash")).alias("h"))
-    gone = table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("p"), F.sha2("text", 256).alias("h"))
-    new, old = docs, seen.union(gone)
-    state = F.when(F.col("path").isNull(), "dropped").when(F.col("p").isNull(), "added").when(F.col("hash") == F.col("h"), "reused").otherwise("changed")
-    return new.join(old, F.col("path") == F.col("p"), "full_outer").select(F.coalesce("path", "p").alias("path"), state.alias("state"))
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    path, digest = F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.sha2("text", 256)
+    new = docs.filter("lang <> 'de'").select(path.alias("path"), digest.alias("hash"))
+    seen = docs.join(labels.select("doc_id", "toxic"), "doc_id").select(path.alias("path"), F.when(F.col("toxic") == 1, "x").otherwise(digest).alias("hash"))
+    place = F.concat(F.lit("src1"), F.when(F.col("item_id") % 2 == 0, "/").otherwise("0/"), F.lit("gone"), F.col("item_id").cast("string"))
+    old = seen.union(table(spark, d, "benchmark").select(place, digest))
+    one = lambda way: stores.merge_index(new, old, "src1", way).select(F.lit(way).alias("incremental"), "path", "hash", "state")
+    return one(True).union(one(False))
 
 
 # -- L: confirmation and reports ----------------------------------------------------------
 
+@query(
+    f"""WITH RECURSIVE {SQL}, {_search_sql("by_data", "data_flow")}, {_search_sql("by_calls", "calls")},
+f AS (SELECT s.id AS finding, min(n.id) AS node FROM nodes s JOIN nodes n USING (name, file) WHERE s.is_sink GROUP BY s.id),
+p AS (SELECT finding, node, CASE WHEN len(d.path) > 1 THEN d.path ELSE c.path END AS path,
+        CASE WHEN len(d.path) > 1 THEN 'data_flow' WHEN c.path IS NOT NULL THEN 'calls' ELSE 'none' END AS path_kind
+      FROM f LEFT JOIN by_data d ON d.id = node LEFT JOIN by_calls c ON c.id = node),
+h AS (SELECT finding, path[i] AS src, path[i + 1] AS dst FROM (SELECT finding, path, unnest(range(1, len(path))) AS i FROM p)),
+v AS (SELECT finding, string_agg(DISTINCT var, ',' ORDER BY var) AS vars FROM h JOIN raw_edges e USING (src, dst) WHERE type = 'data_flow' GROUP BY finding),
+u AS (SELECT finding, bool_or(NOT clean) AS unsanitized FROM (SELECT finding, src, dst, bool_and(sanitized) AS clean FROM h JOIN raw_edges USING (src, dst) WHERE type = 'data_flow' GROUP BY ALL) GROUP BY finding),
+c AS (SELECT finding, list_sort(list(DISTINCT condition))[1:5] AS guards FROM (SELECT finding, src, dst, string_agg(DISTINCT condition, ' | ' ORDER BY condition) AS condition
+      FROM h JOIN raw_edges USING (src, dst) WHERE type = 'control_flow' GROUP BY ALL) GROUP BY finding),
+j AS (SELECT p.*, coalesce(vars, '') AS tainted_vars, coalesce(unsanitized, false) AS unsanitized, coalesce(array_to_string(guards, ';'), '') AS guards
+      FROM p LEFT JOIN v USING (finding) LEFT JOIN u USING (finding) LEFT JOIN c USING (finding))
+SELECT finding, node, coalesce(array_to_string(path, '>'), '') AS path, path_kind, tainted_vars, unsanitized, guards,
+  CASE WHEN path_kind = 'data_flow' THEN CASE WHEN NOT unsanitized THEN 'false_positive' WHEN guards <> '' THEN 'conditional' ELSE 'confirmed' END ELSE 'needs_review' END AS status,
+  CASE WHEN path IS NULL THEN 'llm' ELSE 'graph+llm' END AS origin FROM j"""
+)
+def l2_confirm(spark, d):
+    nodes = roles.nodes(spark, d).withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(1))
+    found = nodes.filter("is_sink").select(F.col("id").alias("finding"), "file", F.col("name").alias("function"), F.lit(0).alias("line"))
+    done = fo.confirm(found, nodes, g.merge_edges(roles.raw_edges(spark, d)))
+    return done.select(
+        "finding", "node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "path_kind",
+        flat("tainted_vars").alias("tainted_vars"), "unsanitized", F.array_join("guards", ";").alias("guards"), "status", "origin",
+    )
+
 
 @query(
     """SELECT doc_id AS id, coalesce(try_cast(CASE WHEN doc_id % 2 = 0 THEN n_chars::VARCHAR ELSE 'x' END AS INTEGER), 0) AS line,
@@ -954,22 +1167,28 @@ def l4_failures(spark, d):
 
 
 @query(
-    """SELECT source AS run_id, count(*) AS results, count(DISTINCT lang) AS rules FROM documents GROUP BY source"""
+    """WITH c AS (SELECT p_brand AS run_id, p_partkey AS ord, replace(lower(p_type), ' ', '_') AS type,
+  ['critical', 'high', 'medium', 'low', 'info'][p_size % 5 + 1] AS severity, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS summary,
+  CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE 'src/' || p_brand END AS uri, CASE WHEN p_size % 2 = 0 THEN greatest(p_size - 20, 1) ELSE 1 END AS line,
+  p_size / 10.0 AS score FROM part)
+SELECT run_id, 'result' AS part, ord, '{"ruleId":"' || type || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END
+  || '","message":{"text":"' || CASE WHEN summary = '' THEN type ELSE summary END || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || uri
+  || '"},"region":{"startLine":' || line || '}}}],"properties":{"security-severity":"' || printf('%.1f', score::DOUBLE) || '","cvss-vector":"AV:N","finding-id":"F' || ord || '"}}' AS json FROM c
+UNION ALL SELECT run_id, 'rule', min(ord), '{"id":"' || type || '","name":"' || type || '","shortDescription":{"text":"'
+  || array_to_string(list_transform(string_split(type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || '"}}' FROM c GROUP BY run_id, type"""
 )
 def l8_sarif(spark, d):
-    rows = table(spark, d, "documents").select(
-        F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("type"), F.col("source").alias("file"),
-        F.lit(0).alias("line"), F.lit("high").alias("severity"), F.col("text").alias("message"),
+    size = F.col("p_size")
+    causes = table(spark, d, "part").select(
+        F.col("p_brand").alias("run_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("finding_id"),
+        F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("type"), F.get(F.array(*map(F.lit, seeds.SEVERITIES)), size % 5).alias("severity"),
+        F.when(size % 4 == 0, "").otherwise(F.col("p_name")).alias("summary"), F.lit("").alias("root_cause"),
+        F.when(size % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("src/"), "p_brand"))).alias("affected_files"),
+        F.when(size % 2 == 0, F.array(F.lit("nowhere"), F.concat(F.lit(":"), F.greatest(size - 20, F.lit(0)).cast("string")))).otherwise(F.array(F.lit("a:x"))).alias("affected_lines"),
+        F.lit("AV:N").alias("cvss_vector"), (size / 10).alias("cvss_score"),
     )
-    docs = fo.sarif(rows)
-    return docs.select(
-        "run_id",
-        F.size(F.from_json(F.get_json_object("sarif", "$.runs[0].results"), "array<string>")).cast("long").alias("results"),
-        F.size(F.from_json(F.get_json_object("sarif", "$.runs[0].tool.driver.rules"), "array<string>")).cast("long").alias("rules"),
-    )
-
-
-# -- M: forms of streams over tables --------------------------------------------------------
+    named = lambda df, part: df.select("run_id", F.lit(part).alias("part"), "ord", "json")
+    return named(fo.sarif_results(causes), "result").union(named(fo.sarif_rules(causes), "rule"))
 
 
 @query(

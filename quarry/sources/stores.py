@@ -11,11 +11,17 @@ GRAPH_VERSION = 1
 
 
 def corpus_digest(files: DataFrame, path: str, digest: str, by: list[str]) -> DataFrame:
-    """SHA-256 of the sorted ``path:hash`` lines of each project."""
-    line = F.concat_ws(":", F.col(path), F.col(digest))
-    return files.groupBy(*by).agg(
-        F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest")
-    )
+    """(by, files, digest): SHA-256 over a project's ``path:hash`` lines, whatever their order.
+
+    The lines fall into 4,096 ranges by the hash of the path. A range's digest is that of
+    its sorted lines, the project's that of the ranges' in order, so no task holds more
+    than a range of a project.
+    """
+    lines = files.select(*by, F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 3).alias("_range"), F.concat_ws(":", F.col(path), F.col(digest)).alias("_line"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    ranges = lines.groupBy(*by, "_range").agg(F.count("*").alias("_n"), joined("_line").alias("_digest"))
+    each = ranges.withColumn("_d", F.concat_ws(":", "_range", "_digest"))
+    return each.groupBy(*by).agg(F.sum("_n").alias("files"), joined("_d").alias("digest"))
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> str:
@@ -94,7 +100,7 @@ def import_sink_rows(rows: DataFrame, kinds: DataFrame, generic: list[str]) -> D
     """
     kept = rows.filter((F.col("model") == "sinkModel") & (F.trim("receiver") != "") & (F.trim("method") != "") & ~F.col("method").isin(generic))
     last = F.element_at(F.split("receiver", r"\."), -1)
-    return kept.join(F.broadcast(kinds), "kind").select(F.concat_ws(".", last, "method").alias("pattern"), "sink_type").distinct()
+    return kept.join(kinds, "kind").select(F.concat_ws(".", last, "method").alias("pattern"), "sink_type").distinct()
 
 
 def import_rules(rules: DataFrame, types: DataFrame) -> DataFrame:
@@ -104,7 +110,7 @@ def import_rules(rules: DataFrame, types: DataFrame) -> DataFrame:
     return (
         rules.filter("mode = 'taint'")
         .select(call.alias("pattern"), number.alias("cwe"))
-        .join(F.broadcast(types), "cwe")
+        .join(types, "cwe")
         .select("pattern", "sink_type")
         .distinct()
     )
@@ -126,3 +132,23 @@ def number(df: DataFrame, order: list[Column | str], by: list[str], prefix: str
     """Adds ids F001, F002, ... in order within ``by``."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("number", F.format_string(prefix + "%03d", n))
+
+
+def merge_index(current: DataFrame, prior: DataFrame, source: str = "", incremental: bool = False) -> DataFrame:
+    """(path, hash, state): the index after ``source``, a path below the project, was read again.
+
+    ``current`` and ``prior``: (path, hash). Read files are ``added``, ``changed`` or, with an
+    equal hash and ``incremental``, ``reused``. Of the others those below ``source`` are gone and
+    ``dropped``; those elsewhere are ``kept`` if ``incremental``, else ``dropped`` as well. An
+    empty ``source`` is the whole project. Dropped files stay in the answer, to be reported.
+    """
+    source = source.strip("/")
+    joined = current.select("path", "hash").join(prior.select(F.col("path").alias("_p"), F.col("hash").alias("_h")), F.col("path") == F.col("_p"), "full_outer")
+    below = F.lit(True) if source in ("", ".") else (F.col("_p") == source) | F.col("_p").startswith(source + "/")
+    state = (
+        F.when(F.col("path").isNull(), F.when(F.lit(incremental) & ~below, "kept").otherwise("dropped"))
+        .when(F.col("_p").isNull(), "added")
+        .when(F.lit(incremental) & (F.col("hash") == F.col("_h")), "reused")
+        .otherwise("changed")
+    )
+    return joined.select(F.coalesce("path", "_p").alias("path"), F.coalesce("hash", "_h").alias("hash"), state.alias("state"))

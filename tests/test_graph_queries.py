@@ -117,3 +117,21 @@ def test_flow_paths_have_no_depth(spark):
         [(i, i + 1, "calls", [], "", False) for i in range(15)], "src long, dst long, type string, data_vars array<string>, condition string, sanitized boolean"
     )
     assert [r["path"] for r in g.flow_paths(nodes, edges).collect()] == [list(range(16))]
+
+
+def test_headers_and_notes_of_a_built_graph(spark):
+    from quarry.operators import code_graph as cg
+    from quarry.plans import samples
+
+    built = cg.build_graph(samples.sources(spark), samples.chunks(spark), samples.patterns(spark))
+    notes = {r["id"]: r for r in cg.flow_notes(built["nodes"], built["edges"]).collect()}
+    order = notes["app/shop.py::1"]
+    assert order["incoming"] == ["note from describe (unsanitized)"]
+    assert order["outgoing"] == ["item to describe (unsanitized)", "note to run (unsanitized)", "item to run_safe (sanitized)", "calls run only if if mode == 'admin'"]
+    text = {r["id"]: r["header"] for r in cg.chunk_header(built["nodes"], built["sinks"], built["edges"]).collect()}
+    assert text["app/shop.py::3"].split("\n") == ["FILE: app/shop.py FUNC: run LINES: 22-23", "ROLE: sink: unknown", "IN: note from order (unsanitized)"]
+    assert text["app/shop.py::0"] == "FILE: app/shop.py FUNC: <module> LINES: 1-5"
+    many = spark.createDataFrame([(f"n{i}", "f", "data_flow", ["a" * 100 + "\n", "b"], "", False) for i in range(9)], built["edges"].schema)
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}\n x") for i in range(9)] + [("f", "f")], "id string, name string")
+    held = cg.flow_notes(nodes, many).filter("id = 'f'").first()
+    assert held["incoming"] == ["a" * 80 + f" from name {i} x (unsanitized)" for i in range(4)] and held["outgoing"] == []

@@ -4,6 +4,8 @@ import json
 import os
 import zipfile
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from quarry import seeds
@@ -92,11 +94,29 @@ def test_dedup_exact_near_and_protected(spark):
     assert [(r["a"], r["b"]) for r in vo.near_pairs(vec, 0.95).collect()] == [(1, 2)]
 
 
+def test_near_dedup_equals_the_loop(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] + r.standard_normal(16) * r.choice([0.0, 0.1, 0.3, 1.0])).tolist()) for i in range(500)]
+    line = [(1000 + i, [float(np.cos(0.2 * i)), float(np.sin(0.2 * i))] + [0.0] * 14) for i in range(130)]  # a chain of neighbours
+    rows += line
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    kept = []
+    for k in range(len(rows)):
+        if not kept or (unit[kept] @ unit[k]).max() <= 0.95:
+            kept.append(k)
+    df = spark.createDataFrame(rows, "id int, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vo, "TILE", 32)
+    assert sorted(x["id"] for x in vo.near_dedup(df, 0.95, per_bucket=32).collect()) == [rows[k][0] for k in kept]
+    assert vo.near_dedup(df.limit(0), 0.95).count() == 0
+
+
 def test_rescue_by_similarity(spark):
     chunks = spark.createDataFrame([("c", [0.95, 0.31, 0.0]), ("inert", [0.0, 1.0, 0.0])], "id string, embedding array<double>")
-    queries = spark.createDataFrame([([1.0, 0.0, 0.0],)], "embedding array<double>")
-    assert [r["id"] for r in pf.rescue_similar(chunks, queries, 0.22, 10).collect()] == ["c"]
-    assert pf.rescue_similar(chunks, queries.limit(0), 0.22, 10).count() == 0
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 0.0]), ("inert", [0.0, 1.0, 0.0])], "id string, embedding array<double>")
+    assert [r["id"] for r in vo.rescue_similar(chunks, queries, 0.32, 10).collect()] == ["c"]  # no row answers for itself
+    assert vo.rescue_similar(chunks, queries.limit(0), 0.22, 10).count() == 0
     assert [pf.rescue_budget(k) for k in (50, 6610, 1, 0)] == [25, 661, 25, 25]
 
 
@@ -123,15 +143,31 @@ def test_pacing_models_are_independent(spark):
     assert got == {("m", 0): True, ("m", 10): False, ("n", 10): True, ("m", 100): True}
 
 
-def test_sarif(spark):
-    rows = [("r", 1, "x", "a.py", 0, "critical", "m"), ("r", 2, "y", "", 7, "medium", "m"), ("r", 3, "x", "b.py", 3, "low", "m")]
-    df = spark.createDataFrame(rows, "run_id string, ord int, type string, file string, line int, severity string, message string")
-    doc = json.loads(fo.sarif(df).first()["sarif"])
-    run = doc["runs"][0]
-    assert [x["level"] for x in run["results"]] == ["error", "warning", "note"]
-    assert [x["id"] for x in run["tool"]["driver"]["rules"]] == ["x", "y"]
-    place = run["results"][1]["locations"][0]["physicalLocation"]
-    assert place["artifactLocation"]["uri"] == "unknown" and run["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
+def test_sarif(spark, tmp_path):
+    rows = [
+        ("r", 1, "F1", "sql_injection", "critical", "m", "", ["a.py"], ["a.py:0"], "V", 9.75),
+        ("r", 2, "F2", "xss", "medium", "", "cause", [], ["x", "b.py:7"], "V", 5.0),
+        ("r", 3, "F3", "sql_injection", "low", "", "", [], [], "V", 0.0),
+        ("other", 4, "F4", "xss", "high", "m", "", [], [], "V", 0.0),
+    ]
+    causes = spark.createDataFrame(
+        rows,
+        "run_id string, ord int, finding_id string, type string, severity string, summary string, root_cause string, "
+        "affected_files array<string>, affected_lines array<string>, cvss_vector string, cvss_score double",
+    ).repartition(3)
+    for own, want in ((causes, 3), (causes.limit(0), 0)):
+        fo.write_sarif(own, "r", str(tmp_path / "sarif"))
+        doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "sarif").glob("part-*"))))
+        assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == want
+        if want:
+            run = doc["runs"][0]
+            assert [(r["id"], r["shortDescription"]["text"]) for r in run["tool"]["driver"]["rules"]] == [("sql_injection", "Sql Injection"), ("xss", "Xss")]
+            assert [r["level"] for r in run["results"]] == ["error", "warning", "note"]
+            places = [r["locations"][0]["physicalLocation"] for r in run["results"]]
+            assert [(p["artifactLocation"]["uri"], p["region"]["startLine"]) for p in places] == [("a.py", 1), ("b.py", 7), ("unknown", 1)]
+            assert [r["message"]["text"] for r in run["results"]] == ["m", "cause", "sql_injection"]
+            assert [r["properties"]["security-severity"] for r in run["results"]] == ["9.8", "5.0", "0.0"]
+
 
 
 def test_importers(spark):
