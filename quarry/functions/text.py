@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def redact(c: Column) -> Column:
     return c
 
 
+def redact_text(text: str) -> str:
+    """``redact`` for a text on the driver."""
+    for _, pattern in SECRETS:
+        text = re.sub(pattern, r"\1[REDACTED]", text)
+    return text
+
+
 def secret_categories(c: Column) -> Column:
     """Sorted names of the kinds of secrets found."""
     return F.array_sort(F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in SECRETS))))
@@ -47,15 +56,6 @@ def html(c: Column) -> Column:
     return c
 
 
-def dot(c: Column) -> Column:
-    """For a quoted string of Graphviz."""
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))
-
-
-def mermaid(c: Column) -> Column:
-    return F.translate(c, '"[]{}|<>', "'()()/  ")
-
-
 def label(c: Column, limit: int = 48) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 1), F.lit("…"))).otherwise(c)
 

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clamp
+from quarry.functions.text import clamp, redact_text
 from quarry.operators.graph import CALLS, DATA, cut, evidence, origin, shortest_paths
+from quarry.operators.ranges import over_last, running
 
 CONFIRMED = ("confirmed", "conditional")
 
@@ -25,23 +26,38 @@ def coerce(raw: DataFrame, head_file: Column) -> DataFrame:
     )
 
 
+#: Lines of one bin: a span of lines meets a line where they share one.
+BIN = 64
+
+
+def _bins(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(F.least(start, end) / BIN), F.floor(end / BIN)))
+
+
 def attribute(findings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(finding, chunk): same batch and file with the line inside, else same file, else the batch's first."""
-    f, c = findings.alias("f"), chunks.alias("c")
-    inside = F.col("f.line").between(F.col("c.line_start"), F.col("c.line_end"))
-    same = F.col("f.file") == F.col("c.file")
-    tier = F.when(same & inside, 0).when(same, 1).otherwise(2)
-    w = Window.partitionBy("f.finding").orderBy(tier, "c.ord")
-    return f.join(c, F.col("f.batch") == F.col("c.batch")).select("f.finding", F.col("c.id").alias("chunk"), F.row_number().over(w).alias("_r"), tier.alias("tier")).filter("_r = 1").drop("_r")
+    """(finding, chunk, tier): same batch and file with the line inside (0), else same file (1), else the batch's first (2).
+
+    Three equi-joins, the first on bins of lines, so the findings of one file don't meet all of its chunks.
+    """
+    first = F.min(F.struct("ord", "id"))
+    spans = chunks.select("batch", "file", "ord", "id", "line_start", "line_end", _bins(F.col("line_start"), F.col("line_end")).alias("_bin"))
+    lines = findings.select("finding", "batch", "file", "line", F.floor(F.col("line") / BIN).alias("_bin"))
+    inside = lines.join(spans, ["batch", "file", "_bin"]).filter(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("finding").agg(first.alias("_0"))
+    in_file = chunks.groupBy("batch", "file").agg(first.alias("_1"))
+    in_batch = chunks.groupBy("batch").agg(first.alias("_2"))
+    tier = F.when(F.col("_0").isNotNull(), 0).when(F.col("_1").isNotNull(), 1).otherwise(2)
+    met = findings.select("finding", "batch", "file").join(in_batch, "batch").join(in_file, ["batch", "file"], "left").join(inside, "finding", "left")
+    return met.select("finding", F.coalesce("_0", "_1", "_2")["id"].alias("chunk"), tier.alias("tier"))
 
 
 def locate(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     """(finding, node): the node of that name in the file, else the narrowest one around the line."""
-    f, n = findings.alias("f"), nodes.alias("n")
-    named = F.coalesce(F.col("f.function") == F.col("n.name"), F.lit(False))
-    inside = F.col("f.line").between(F.col("n.line_start"), F.col("n.line_end"))
-    w = Window.partitionBy("f.finding").orderBy(F.desc(named), F.col("n.line_end") - F.col("n.line_start"), "n.id")
-    return f.join(n, F.col("f.file") == F.col("n.file")).filter(named | inside).select("f.finding", F.col("n.id").alias("node"), F.row_number().over(w).alias("_r")).filter("_r = 1").drop("_r")
+    best = F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("_w"), "id"))
+    named = findings.select("finding", "file", F.col("function").alias("name")).join(nodes, ["file", "name"]).groupBy("finding").agg(best.alias("_0"))
+    spans = nodes.select("file", "id", "line_start", "line_end", _bins(F.col("line_start"), F.col("line_end")).alias("_bin"))
+    lines = findings.select("finding", "file", "line", F.floor(F.col("line") / BIN).alias("_bin"))
+    around = lines.join(spans, ["file", "_bin"]).filter(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("finding").agg(best.alias("_1"))
+    return named.join(around, "finding", "full_outer").select("finding", F.coalesce("_0", "_1")["id"].alias("node"))
 
 
 def default_verdict(evidence: DataFrame) -> Column:
@@ -119,15 +135,13 @@ def hunt_variants(
 
 def within_budget(rows: DataFrame, tokens: str, budget: int, order: list, by: list[str]) -> DataFrame:
     """Adds ``runs``: whether what was spent before is still below the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("runs", F.coalesce(F.sum(tokens).over(w), F.lit(0)) < budget)
+    return running(rows, by, order, tokens).withColumn("runs", F.col("before") < budget).drop("n", "before")
 
 
 def pacing(calls: DataFrame, tokens: str, ts: str, model: str, limit: int, seconds: int = 60) -> DataFrame:
     """Adds ``window_tokens`` of the last ``seconds`` and ``passes``: fits the limit or is alone."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(model).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("window_tokens", F.sum(tokens).over(w)).withColumn(
+    return over_last(calls, model, at, seconds * 1_000_000, tokens, "window_tokens").withColumn(
         "passes", (F.col("window_tokens") <= limit) | (F.col("window_tokens") == F.col(tokens))
     )
 
@@ -259,12 +273,17 @@ def to_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("json"))
 
 
+def _escaped(text) -> str:
+    """Text in which Markdown marks nothing."""
+    return "".join("\\" + c if c in "\\`*_{}[]()#+-|<>" else c for c in str(text))
+
+
 def markdown_report(findings: list[dict], title: str = "Findings") -> str:
     """Text of a small collected set of findings, most severe first."""
     from quarry.seeds import SEVERITIES
 
     rank = {s: i for i, s in enumerate(SEVERITIES)}
-    esc = lambda s: "".join("\\" + c if c in "\\`*_{}[]()#+-|<>" else c for c in str(s))
+    esc = _escaped
     lines = [f"# {esc(title)}", "", f"{len(findings)} findings", ""]
     for f in sorted(findings, key=lambda f: (rank.get(f.get("severity"), 9), f["id"])):
         lines += [f"## {esc(f['id'])}: {esc(f['type'])} ({f.get('severity', 'info')})", "", f"`{f['file']}:{f['line']}`", ""]
@@ -276,6 +295,36 @@ def markdown_report(findings: list[dict], title: str = "Findings") -> str:
     return "\n".join(lines)
 
 
+def executive_report(cause: dict) -> str:
+    """One root cause for readers without code: risk, impact, advice."""
+    part = lambda title, text: [f"## {title}", "", _escaped(text) or "not available", ""]
+    lines = [f"# {_escaped(cause['finding_id'])}", "", f"Severity: {cause['severity']}, CVSS {cause['cvss_score']:.1f}", ""]
+    lines += part("Risk", cause.get("summary", "")) + part("Impact", cause.get("blast_radius", "")) + part("Advice", cause.get("remediation_summary", ""))
+    return "\n".join(lines)
+
+
+def technical_report(cause: dict) -> str:
+    """One root cause with its places and code, secrets redacted."""
+    lines = [f"## {_escaped(cause['finding_id'])}: {_escaped(cause['type'])}", "", f"Severity: {cause['severity']}, CVSS {cause['cvss_score']:.1f} ({cause.get('cvss_vector', '')})", ""]
+    lines += [_escaped(cause.get("root_cause", "")) or "not available", ""]
+    lines += [f"- `{x}`" for x in [*cause.get("affected_files", []), *cause.get("affected_lines", [])]]
+    for title, field in (("Vulnerable", "vulnerable_code"), ("Fixed", "fixed_code")):
+        if cause.get(field):
+            code = redact_text(cause[field])
+            fence = "```"
+            while fence in code:
+                fence += "`"
+            lines += ["", f"### {title}", "", fence, code, fence]
+    return "\n".join(lines)
+
+
+def consolidated_report(causes: list[dict]) -> str:
+    """All root causes: a table, then the technical report of each, in the order given."""
+    head = ["# Findings", "", f"{len(causes)} findings", "", "| id | type | severity | CVSS |", "|-|-|-|-|"]
+    head += [f"| {_escaped(c['finding_id'])} | {_escaped(c['type'])} | {c['severity']} | {c['cvss_score']:.1f} |" for c in causes]
+    return "\n\n".join(["\n".join(head), *map(technical_report, causes)])
+
+
 def balanced_json(text: str) -> list[dict]:
     """Objects of the first JSON value in noisy text: a fenced block, else the first balanced brackets."""
     decoder = json.JSONDecoder()

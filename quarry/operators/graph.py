@@ -8,6 +8,7 @@ anti-join; levels are cut to reliable storage so that plans stay short.
 from __future__ import annotations
 
 import itertools
+import json
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -264,15 +265,50 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def render(nodes: list[dict], edges: list[dict], kind: str = "dot") -> str:
-    """Text of a small collected view as Graphviz or Mermaid."""
+def _tree(nodes: list[dict], edges: list[dict], depth: int) -> list[str]:
+    """Nodes below each entry point, or below the first twenty if there is none; what stands above a node ends there."""
+    by_id = {n["id"]: n for n in nodes}
+    below: dict = {}
+    for e in edges:
+        if e["src"] in by_id and e["dst"] in by_id:
+            below.setdefault(e["src"], {}).setdefault(e["dst"], []).append(e)
+    roots = [n for n in nodes if n.get("is_entry_point")] or sorted(nodes, key=lambda n: n["name"])[:20]
+    lines = []
+    todo = [(n["id"], 0, "", frozenset()) for n in reversed(roots)]
+    while todo:
+        at, level, how, above = todo.pop()
+        mark = " (sink)" if by_id[at].get("is_sink") else ""
+        lines.append("  " * level + how + by_id[at]["name"] + mark + (" ..." if at in above or level == depth else ""))
+        if at in above or level == depth:
+            continue
+        for dst, group in sorted(below.get(at, {}).items(), key=lambda x: by_id[x[0]]["name"], reverse=True):
+            todo.append((dst, level + 1, ",".join(sorted({e["type"] for e in group})) + ": ", above | {at}))
+    return lines
+
+
+def render_paths(paths: list[dict], names: dict) -> str:
+    """Text of collected ``flow_paths``: each path's nodes with the label of the hop that leads on."""
+    lines = []
+    for i, p in enumerate(paths, 1):
+        lines.append(f"[{i}] {'unsanitized' if p['tainted'] else 'sanitized'}")
+        for k, node in enumerate(p["path"]):
+            lines.append(f"    {k + 1}. {names.get(node, node)}")
+            if k < len(p["hops"]) and p["hops"][k]:
+                lines.append(f"       | {p['hops'][k]}")
+    return "\n".join(lines) if lines else "no path from an entry point to a sink"
+
+
+def render(nodes: list[dict], edges: list[dict], kind: str = "dot", depth: int = 6) -> str:
+    """Text of a small collected view: ``dot``, ``mermaid``, ``tree`` or ``json``; entry points and sinks are marked."""
     def quote(s: str) -> str:
         return s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", " ")
 
     number = {n["id"]: f"n{i}" for i, n in enumerate(nodes)}
+    edges = [e for e in edges if e["src"] in number and e["dst"] in number]
+    colour = lambda n: "red" if n.get("is_sink") else "green" if n.get("is_entry_point") else ""
     if kind == "dot":
         lines = ["digraph code {"]
-        lines += [f'  {number[n["id"]]} [label="{quote(n["name"])}"];' for n in nodes]
+        lines += [f'  {number[n["id"]]} [label="{quote(n["name"])}"{f" color={colour(n)}" if colour(n) else ""}];' for n in nodes]
         lines += [f'  {number[e["src"]]} -> {number[e["dst"]]} [label="{quote(e["type"])}"];' for e in edges]
         return "\n".join([*lines, "}"])
     if kind == "mermaid":
@@ -280,7 +316,12 @@ def render(nodes: list[dict], edges: list[dict], kind: str = "dot") -> str:
         lines = ["flowchart TD"]
         lines += [f'  {number[n["id"]]}["{n["name"].translate(clean)}"]' for n in nodes]
         lines += [f'  {number[e["src"]]} -->|{e["type"].translate(clean)}| {number[e["dst"]]}' for e in edges]
+        lines += [f"  style {number[n['id']]} stroke:{colour(n)}" for n in nodes if colour(n)]
         return "\n".join(lines)
+    if kind == "tree":
+        return "\n".join(_tree(nodes, edges, depth))
+    if kind == "json":
+        return json.dumps({"nodes": nodes, "edges": edges}, ensure_ascii=False, default=str)
     raise ValueError(f"unknown kind {kind}")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import call_core, segment_match
 from quarry.functions.vectors import cosine, norm
+from quarry.operators.ranges import running
 
 
 def any_in(text: Column, needles: list[str]) -> Column:
@@ -117,8 +118,7 @@ def first_per(df: DataFrame, by: list[str], order: list) -> DataFrame:
 
 def batches(df: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
     """Adds ``batch``: consecutive runs of ``size`` rows within ``by``."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+    return running(df, by, [order]).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("long")).drop("n", "before")
 
 
 def match_qualified(calls: DataFrame, models: DataFrame, name: str = "name") -> DataFrame:

@@ -12,6 +12,7 @@ from quarry import seeds
 from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import code_graph as cg
+from quarry.operators import definitions as df_
 from quarry.operators import findings as fo
 from quarry.operators import flow
 from quarry.operators import graph as g
@@ -312,14 +313,21 @@ def c14_status_filter(spark, d):
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN bad_name AND bad_value THEN 'name too short,value negative' WHEN bad_name THEN 'name too short' WHEN bad_value THEN 'value negative' ELSE '' END AS errors
-FROM (SELECT c_custkey, length(c_mktsegment) < 9 AS bad_name, c_acctbal < 0 AS bad_value FROM customer)"""
+    """SELECT c_custkey, array_to_string(list_sort(list_filter([
+  CASE WHEN c_custkey % 7 = 0 THEN 'no object' END, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 5 = 0 THEN 'missing name' END,
+  CASE WHEN c_custkey % 7 > 0 AND c_custkey % 3 = 0 THEN 'unknown extra' END, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 2 = 0 THEN 'extensions is no array' END,
+  CASE WHEN c_custkey % 7 > 0 AND c_custkey % 11 = 0 THEN 'id is no string' END, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 13 = 0 THEN 'app_types is too long' END],
+  lambda x: x IS NOT NULL)), ',') AS errors FROM customer"""
 )
 def c15_validation(spark, d):
-    errors = F.array_compact(
-        F.array(F.when(F.length("c_mktsegment") < 9, F.lit("name too short")), F.when(F.col("c_acctbal") < 0, F.lit("value negative")))
+    key = F.col("c_custkey")
+    some = lambda n, yes, no="": F.when(key % n == 0, yes).otherwise(no)
+    text = F.concat(
+        F.lit("{"), some(11, '"id": 5, ', '"id": "x", '), some(5, "", '"name": "n", '), some(3, '"extra": 1, '),
+        some(13, '"app_types": ["' + "y" * 501 + '"], '), some(2, '"extensions": ".x"}', '"extensions": [".x", ".y"]}'),
     )
-    return table(spark, d, "customer").select("c_custkey", flat(errors).alias("errors"))
+    rows = table(spark, d, "customer").select("c_custkey", F.when(key % 7 == 0, "[1]").otherwise(text).alias("json"))
+    return df_.schema_errors(rows).select("c_custkey", flat("errors").alias("errors"))
 
 
 # -- D: implied joins -------------------------------------------------------------

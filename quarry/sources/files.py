@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import extension, shebang
+from quarry.operators.ranges import running
 
 MAX_FILE = 10 << 20
 MAX_PROJECT = 2 << 30
@@ -95,7 +96,7 @@ def within_limits(files: DataFrame, order: str, size: str, max_file: int = MAX_F
     """Files up to ``max_file``, in order until the running total would pass ``max_project``.
 
     The cut stops the scan: nothing after the first file that doesn't fit is taken.
-    Totals run per project (``per``), so projects are independent tasks.
+    Totals run per project (``per``), over ranges of its files.
     """
-    w = Window.partitionBy(*(per or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return files.filter(F.col(size) <= max_file).withColumn("_total", F.sum(size).over(w)).filter(F.col("_total") <= max_project).drop("_total")
+    fit = running(files.filter(F.col(size) <= max_file), per or [], [order], size)
+    return fit.filter(F.col("before") + F.col(size) <= max_project).select(*files.columns)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.ranges import running
+
 GRAPH_VERSION = 1
 
 
@@ -130,8 +132,7 @@ def findings_in(findings: DataFrame, run: str | None = None, status: str | None
 
 def number(df: DataFrame, order: list[Column | str], by: list[str], prefix: str = "F") -> DataFrame:
     """Adds ids F001, F002, ... in order within ``by``."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("number", F.format_string(prefix + "%03d", n))
+    return running(df, by, order).withColumn("number", F.format_string(prefix + "%03d", "n")).drop("n", "before")
 
 
 def merge_index(current: DataFrame, prior: DataFrame, source: str = "", incremental: bool = False) -> DataFrame:

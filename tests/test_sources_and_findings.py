@@ -5,6 +5,7 @@ import os
 import zipfile
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,77 @@ def test_findings_reader_and_verdicts(spark):
     verdicts = spark.createDataFrame([("F001", "CONFIRMED", None), ("F002", None, "token budget spent")], "id string, verdict string, failure string")
     got = {r["id"]: (r["status"], r["review_reason"]) for r in fo.merge_verdicts(spark.createDataFrame([("F001",), ("F002",), ("F003",)], "id string"), verdicts).collect()}
     assert got == {"F001": ("confirmed", ""), "F002": ("needs_review", "token budget spent"), "F003": ("needs_review", "not evaluated")}
+
+
+def test_numbers_and_totals_run_over_ranges(spark):
+    from quarry.operators.ranges import running
+
+    rows = [(None if i % 5 == 0 else "hot" if i % 5 < 4 else f"s{i % 3}", i, i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    got = {r["k"]: (r["n"], r["before"]) for r in running(df, ["g"], ["k"], "v").collect()}
+    seen = {}
+    for g, k, v in rows:
+        n, before = seen.get(g, (0, 0))
+        assert got[k] == (n + 1, before)
+        seen[g] = n + 1, before + v
+    assert [r["n"] for r in running(df, [], [F.desc("k")]).orderBy("n").limit(3).collect()] == [1, 2, 3]
+    assert running(df.limit(0), ["g"], ["k"]).count() == 0
+
+
+def test_embedders(spark):
+    from quarry.functions.embedders import FunctionEmbedder, embedder, register
+
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id int, text string")
+    assert embedder("hash", dim=8).embed(rows, "id", "text").count() == 3
+    register("length", lambda dim=2: FunctionEmbedder("length", lambda: lambda texts: [[len(t), 1.0] for t in texts], dim))
+    got = {r["id"]: r["embedding"] for r in embedder("length").embed(rows, "id", "text").collect()}
+    assert got[2] == [0.0, 1.0] and got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-12
+    with pytest.raises(ValueError):
+        embedder("nothing")
+
+
+def test_learned_sinks_and_models_by_tier(spark):
+    from quarry.operators import definitions as d
+
+    samples = spark.createDataFrame([("lua", "x"), ("perl", "y"), ("c", "z"), ("tcl", " ")], "language string, sample string")
+    covered = spark.createDataFrame([("c",)], "language string")
+
+    def learner(language, sample):
+        if language == "perl":
+            raise RuntimeError
+        return ["OS.Execute(", "os.execute(", "", "x" * 101, 5, *(f"p{i}" for i in range(50))]
+
+    got = [r["pattern"] for r in d.learn_sinks(samples, covered, learner).collect()]
+    assert got == ["os.execute(", *(f"p{i}" for i in range(39))]
+    fallback = {"cheap": "a", "mid": "b", "deep": "c"}
+    assert d.models_by_tier({"one_model_deep": "z", "model": "old"}, "one", fallback, "one") == {"cheap": "a", "mid": "old", "deep": "z"}
+    assert d.models_by_tier({"one_model_mid": "m", "model": "old"}, "one", fallback, "one")["mid"] == "m"
+    assert d.models_by_tier({"model": "old"}, "two", fallback, "one") == fallback
+    assert d.resolve_model(fallback, "mid") == "b"
+    with pytest.raises(ValueError):
+        d.resolve_model({"mid": ""}, "mid")
+
+
+def test_reports_of_root_causes():
+    cause = {
+        "finding_id": "F1", "type": "sql_injection", "severity": "high", "cvss_score": 9.0, "cvss_vector": "AV:N", "summary": "a | b", "root_cause": "joined *text*",
+        "affected_files": ["a.py"], "affected_lines": ["a.py:3"], "vulnerable_code": 'password = "hunter22"\n```', "fixed_code": "",
+    }
+    text = fo.executive_report(cause)
+    assert "a \\| b" in text and "hunter" not in text and text.count("not available") == 2
+    text = fo.technical_report(cause)
+    assert "hunter22" not in text and "[REDACTED]" in text and "````" in text and "`a.py:3`" in text
+    assert fo.consolidated_report([cause, {**cause, "finding_id": "F2"}]).count("sql\\_injection") == 4
+
+
+def test_renderers():
+    from quarry.operators import graph as g
+
+    nodes = [{"id": 1, "name": 'a"b', "is_entry_point": True, "is_sink": False}, {"id": 2, "name": "c", "is_entry_point": False, "is_sink": True}]
+    edges = [{"src": 1, "dst": 2, "type": "calls"}, {"src": 1, "dst": 2, "type": "data_flow"}, {"src": 2, "dst": 1, "type": "calls"}, {"src": 2, "dst": 9, "type": "calls"}]
+    assert g.render(nodes, edges, "tree").split("\n") == ['a"b', "  calls,data_flow: c (sink)", '    calls: a"b ...']
+    assert 'label="a\\"b" color=green' in g.render(nodes, edges) and "style n1 stroke:red" in g.render(nodes, edges, "mermaid")
+    assert len(json.loads(g.render(nodes, edges, "json"))["edges"]) == 3
+    paths = [{"path": [1, 2], "hops": ["x (unsanitized)"], "tainted": True}]
+    assert g.render_paths(paths, {1: "a", 2: "c"}).split("\n") == ["[1] unsanitized", "    1. a", "       | x (unsanitized)", "    2. c"]
+    assert "no path" in g.render_paths([], {})
