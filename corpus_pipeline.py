@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, scratch, table
+from quarry.llm.common import cut, drop, scratch, table
 from quarry.llm.mixing import mix_sources
 from quarry.llm.ngram_join import keep_one
 from quarry.llm.ordinal import grade_texts
@@ -98,10 +98,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the table ``documents``."""
+    """All stages in order over the table ``documents``; a stage's table goes once the next one stands."""
     docs = table(spark, sf_dir, "documents")
     folder = scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,12 +17,15 @@ gives an empty result; columns with clashing names don't matter.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, cut, hashed
+from quarry.operators.ranges import running
 
 #: Longest documents' worth of words that the dynamic programme fits.
 RESERVE = 4
@@ -31,23 +34,41 @@ RESERVE = 4
 RANGES_BITS = 10
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: float, cap: float) -> dict[str | None, float]:
-    """Words each source should contribute."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    budget, open_, found = share * sum(sizes.values()), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        above = [s for s in open_ if budget * weight[s] / total > cap * sizes[s]]
-        if not above:
-            found |= {s: budget * weight[s] / total for s in open_}
-            break
-        for s in above:
-            found[s] = float(cap * sizes[s])
-        budget -= sum(found[s] for s in above)
-        budget = max(budget, 0.0)
-        open_ = [s for s in open_ if s not in found]
-    return found
+def level(sizes: DataFrame, share: float, cap: float) -> float:
+    """Words per weight at which the sources (_size, _weight) below their cap share what the others leave.
+
+    A source is above its cap where the level passes ``cap * size / weight``; the level
+    only rises as more are, so it settles. The driver sees three sums a round.
+    """
+    above = F.lit(float(cap)) * F.col("_size") / F.col("_weight")
+    now = -1.0
+    while True:
+        got = sizes.agg(
+            F.sum("_size").alias("all"),
+            F.coalesce(F.sum(F.when(above < now, F.col("_size"))), F.lit(0)).alias("full"),
+            F.sum(F.when(above >= now, F.col("_weight"))).alias("open"),
+        ).first()
+        if not got["open"]:
+            return math.inf if got["all"] is not None else 0.0
+        after = max(share * got["all"] - cap * got["full"], 0.0) / got["open"]
+        if after <= now:
+            return now
+        now = after
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """(_key, _source_size, _target) from (_key, _size): the words each source should contribute.
+
+    Sources are numbered over ranges of their names and never leave Spark, however many there are.
+    """
+    order = [(F.col("_key") == "").alias("_null"), F.col("_key")]
+    numbered = running(sizes, [], order)
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("n") - 1) % len(weights)).cast("int"))
+    weighed = cut(numbered.select("_key", "_size", weight.alias("_weight")))
+    top = level(weighed, share, cap)
+    own = F.lit(float(cap)) * F.col("_size")
+    goal = own if math.isinf(top) else F.least(own, F.lit(top) * F.col("_weight"))
+    return weighed.select("_key", F.col("_size").alias("_source_size"), goal.alias("_target"))
 
 
 def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -119,8 +140,7 @@ def mix_sources(
 ) -> DataFrame:
     """(id, size, source_size, target, taken, times, *keep) per row of ``docs``.
 
-    The driver sees one row per source (its words); the fit of a source sees one
-    row per distinct length. Documents are only ever dealt by (source, length,
+    The driver sees a few sums; the fit of a source sees one row per distinct length. Documents are only ever dealt by (source, length,
     hash range), so one source or length that holds a third of them is split.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
@@ -136,15 +156,13 @@ def mix_sources(
     )
     by_range = sized.groupBy("_key", "_size", "_range").agg(F.count("*").alias("_n"))
     by_length = by_range.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
-    totals = {r["_key"]: r["_s"] for r in sized.groupBy("_key").agg(F.sum("_size").alias("_s")).collect()}
-    named = {(k[1:] if k else None): s for k, s in totals.items()}
-    goal = targets(named, weights, share, cap)
-    rows = []
-    for name, size in named.items():
-        full = min(int(goal[name] // size), int(cap)) if size else 0
-        rows.append(("" if name is None else "=" + name, size, goal[name], full, round(goal[name]) - full * size if size else 0))
-    spark = docs.sparkSession
-    goals = spark.createDataFrame(rows, "_key string, _source_size long, _target double, _full int, _rest long")
+    sizes = sized.groupBy("_key").agg(F.sum("_size").alias("_size"))
+    full = F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size")), F.lit(int(cap)))).otherwise(0)
+    goals = cut(
+        targets(sizes, weights, share, cap)
+        .withColumn("_full", full.cast("long"))
+        .withColumn("_rest", F.rint("_target").cast("long") - F.col("_full") * F.col("_source_size"))
+    )
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         lengths, counts = group["_size"].to_numpy(), group["_n"].to_numpy()

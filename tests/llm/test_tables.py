@@ -212,9 +212,30 @@ def test_links_of_large_groups(spark):
     assert max(r.n_links for r in got) > 300
 
 
-def test_targets_stop_at_the_cap():
-    got = targets({"a": 100, "b": 1000, None: 10}, (5, 2, 1), 1.5, 2.0)
-    assert got["a"] == 200 and got[None] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-6
+def shares(sizes, weights, share, cap):
+    """Targets of sources in order by sharing again until none is above its cap."""
+    names = sorted(sizes, key=lambda x: (x == "", x))
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(names)}
+    full, left = set(), share * sum(sizes.values())
+    while True:
+        total = sum(weight[x] for x in names if x not in full)
+        over = {x for x in names if x not in full and left * weight[x] / total > cap * sizes[x]}
+        if not over:
+            return {x: cap * sizes[x] if x in full else left * weight[x] / total for x in names}
+        full |= over
+        left = max(0.0, share * sum(sizes.values()) - cap * sum(sizes[x] for x in full))
+        if len(full) == len(names):
+            return {x: cap * sizes[x] for x in names}
+
+
+def test_targets_equal_sharing_by_hand(spark):
+    r = random.Random(15)
+    cases = [{"=a": 100, "=b": 1000, "": 10}, {"=x": 0}, {"=x": 5, "": 0}, {f"=s{i}": int(10 ** r.uniform(0, 5)) for i in range(60)}]
+    for sizes in cases:
+        df = spark.createDataFrame(list(sizes.items()), "_key string, _size long").repartition(3)
+        got = {x["_key"]: x["_target"] for x in targets(df, (5, 2, 1), 1.5, 2.0).collect()}
+        assert got == pytest.approx(shares(sizes, (5, 2, 1), 1.5, 2.0))
+    assert targets(df.limit(0), (5, 2, 1), 1.5, 2.0).count() == 0
 
 
 def nearest(lengths, counts, budget):
