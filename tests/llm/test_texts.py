@@ -54,6 +54,7 @@ def test_token_counts_of_long_words_equal_the_library():
 
 def test_token_counts_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "é x", 5), (3, "é x", 5), (4, "hi " * 1100, 5)], "doc_id long, text string, n_tokens int")
+    docs = docs.withColumn("_id", F.lit("clash")).withColumn("n_bytes", F.lit(None))
     got = sorted(map(tuple, token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()))
     assert got[:2] == [(1, 0, 0, False), (2, 0, 0, False)] and got[2] == got[3] and got[2][1] == 4 and got[4][3]
     assert token_counts(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
@@ -87,7 +88,8 @@ def test_decoding_of_any_ids(pieces):
 
 
 def test_piece_rows(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("_text", F.lit("clash"))
+    assert encode_decode(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     got = sorted((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
     assert got == [(1, (2,), ""), (2, (2,), ""), (3, (264, 287, 2), "a b"), (3, (264, 287, 2), "a b")]
 
