@@ -14,7 +14,8 @@ ties break the second property.
 
 Defined results: null text encodes as the empty text; characters that are no
 piece become their UTF-8 bytes' pieces; control strings inside a text are plain
-text; decoding replaces bytes that form no UTF-8 by U+FFFD; one output row per
+text; decoding replaces bytes that form no UTF-8 by U+FFFD; very long texts are whole;
+an empty table gives an empty result; columns with clashing names are ignored; one output row per
 input row, repeated rows included.
 """
 
