@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -252,6 +252,26 @@ def calls(chunks: DataFrame, sources: list[str] | None = None, sanitizers: list[
     return chunks.select("id", "file", "code", "fields").mapInPandas(find, CALLS)
 
 
+def parsed_calls(chunks: DataFrame, parsers: Mapping[str, Callable[[str], list[dict] | None]]) -> DataFrame:
+    """Call facts of chunks (id, file, language, code) by parsers of their languages, in the columns of ``calls``.
+
+    A parser returns dicts with ``name`` and, where known, ``data_vars``, ``returns_to``, ``guards`` and
+    ``sanitized``; None if the chunk doesn't parse. Languages without a parser give no rows.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CALLS.split(", ")]
+        for batch in batches:
+            rows = []
+            for i, file, language, code in zip(batch["id"], batch["file"], batch["language"], batch["code"]):
+                for c in parsers[language](code or "") or []:
+                    rows.append((i, file, c["name"], sorted(set(c.get("data_vars", ()))), c.get("returns_to"), list(c.get("guards", ())), bool(c.get("sanitized", False))))
+            yield pd.DataFrame(rows, columns=names)
+
+    held = chunks.filter(F.col("language").isin(list(parsers)))
+    return held.select("id", "file", "language", "code").mapInPandas(find, CALLS)
+
+
 def class_fields(chunks: DataFrame, sources: list[str] | None = None, sanitizers: list[str] | None = None) -> DataFrame:
     """(file, class, fields): attributes that some method of the class fills with outside data (first pass)."""
     src, san = sources or seeds.PY_SOURCES, sanitizers or seeds.PY_SANITIZERS

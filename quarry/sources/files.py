@@ -42,27 +42,65 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring(own, len(top) + 2, 100_000).alias("path"), "content", F.col("length").alias("size_bytes"))
 
 
-def unzip(archives: DataFrame) -> DataFrame:
+def unzip(archives: DataFrame, max_file: int = MAX_FILE, max_archive: int = MAX_PROJECT) -> DataFrame:
     """(path, content, size_bytes) of the members of zip archives given as ``content``.
 
-    Members that are links, folders or point outside the archive are left out.
+    Members that are links, folders, point outside the archive or unpack to more than
+    ``max_file`` bytes are left out; no more of one is ever unpacked than that, whatever
+    size it states. An archive whose kept members pass ``max_archive`` bytes is an error.
     """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
+                total = 0
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     for info in z.infolist():
                         link = (info.external_attr >> 16) & 0o170000 == 0o120000
                         path = os.path.normpath(info.filename)
                         if link or info.is_dir() or os.path.isabs(path) or path.split(os.sep)[0] == "..":
                             continue
-                        content = z.read(info)
+                        with z.open(info) as member:
+                            content = member.read(max_file + 1)
+                        if len(content) > max_file:
+                            continue
+                        total += len(content)
+                        if total > max_archive:
+                            raise ValueError(f"an archive unpacks to more than {max_archive} bytes")
                         yield pd.DataFrame({"path": [path], "content": [content], "size_bytes": [len(content)]})
 
     return archives.select("content").mapInPandas(members, _FILES)
 
 
+def classify(source: str) -> str:
+    """directory, zip, git or url; an error for anything else."""
+    low = source.strip().lower()
+    hosts = ("github.com", "gitlab.com", "bitbucket.org", "codeberg.org")
+    if low.startswith(("git@", "git://", "ssh://")):
+        return "git"
+    if low.startswith(("http://", "https://")):
+        host = low.split("/")[2].removeprefix("www.")
+        return "git" if low.rstrip("/").endswith(".git") or host in hosts and low.rstrip("/").count("/") > 2 else "url"
+    if low.startswith("file://") and low.rstrip("/").endswith(".git"):
+        return "git"
+    path = source.removeprefix("file://")
+    if os.path.isdir(path):
+        return "directory"
+    if os.path.isfile(path) and low.endswith(".zip"):
+        return "zip"
+    raise ValueError(f"neither a folder, an archive nor an address: {source}")
+
+
+def read_source(spark: SparkSession, source: str) -> DataFrame:
+    """(path, content, size_bytes) of a folder or zip archive; archives are unpacked in tasks, never to disk."""
+    kind = classify(source)
+    if kind == "directory":
+        return scan_tree(spark, source.removeprefix("file://"))
+    if kind == "zip":
+        return unzip(spark.read.format("binaryFile").load(source).select("content"))
+    raise ValueError(f"a {kind} source has to be fetched first: {source}")
+
+
 def decode(files: DataFrame) -> DataFrame:
     """Text of the files that aren't binary (a NUL among the first 4096 bytes); bad bytes become U+FFFD."""
 

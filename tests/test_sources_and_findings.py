@@ -271,3 +271,24 @@ def test_renderers():
     paths = [{"path": [1, 2], "hops": ["x (unsanitized)"], "tainted": True}]
     assert g.render_paths(paths, {1: "a", 2: "c"}).split("\n") == ["[1] unsanitized", "    1. a", "       | x (unsanitized)", "    2. c"]
     assert "no path" in g.render_paths([], {})
+
+
+def test_sources_are_told_apart_and_archives_guarded(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_text("x")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("ok.py", "y")
+        z.writestr("big.py", "0" * 5_000)
+        z.writestr("../out.py", "z")
+    want = {"git@host:a/b": "git", "https://github.com/a/b": "git", "https://x.org/a.git": "git", "https://x.org/a": "url", str(tmp_path / "tree"): "directory", str(tmp_path / "z.zip"): "zip"}
+    assert {k: files.classify(k) for k in want} == want
+    with pytest.raises(ValueError):
+        files.classify(str(tmp_path / "missing"))
+    assert [r["path"] for r in files.read_source(spark, str(tmp_path / "tree")).collect()] == ["a.py"]
+    assert sorted(r["path"] for r in files.read_source(spark, str(tmp_path / "z.zip")).collect()) == ["big.py", "ok.py"]
+    archive = spark.read.format("binaryFile").load(str(tmp_path / "z.zip")).select("content")
+    assert [r["path"] for r in files.unzip(archive, max_file=100).collect()] == ["ok.py"]
+    with pytest.raises(Exception, match="more than 1000 bytes"):
+        files.unzip(archive, max_archive=1000).collect()
+    with pytest.raises(ValueError):
+        files.read_source(spark, "https://x.org/a")
