@@ -160,7 +160,7 @@ def mix_sources(
     full = F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size")), F.lit(int(cap)))).otherwise(0)
     goals = cut(
         targets(sizes, weights, share, cap)
-        .withColumn("_full", full.cast("long"))
+        .withColumn("_full", full.cast("int"))
         .withColumn("_rest", F.rint("_target").cast("long") - F.col("_full") * F.col("_source_size"))
     )
 
