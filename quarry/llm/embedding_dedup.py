@@ -4,7 +4,8 @@
    pair at the threshold needs to meet in a leaf with the target probability, give
    each class its first neighbours; large leaves are cut by hash.
 2. NN-descent: the neighbours and reverse neighbours of a class are compared with each
-   other; better ones replace worse ones, round by round.
+   other; better ones replace worse ones, round by round. Lists reach as far as twice the
+   threshold's angle: two links of one class are never further apart.
 3. A list that is full of threshold edges is saturated: the room for such edges doubles,
    round by round, up to ``room``, and the search goes on until the lists stand still and
    none that may still grow is saturated. In saturated neighbourhoods, where the lists of
@@ -83,13 +84,18 @@ def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), top.ravel()
 
 
+def reach(threshold: float) -> float:
+    """Similarity at twice the threshold's angle: a neighbour beyond leads to no link that a nearer one doesn't."""
+    return 2 * threshold * threshold - 1 if threshold > 0.5**0.5 else -1.0
+
+
 #: What local joins return.
 PAIRS = "v long, w long, sim double"
 
 
 def local_join(keys: int, k: int, threshold: float, kind: str):
     """Compare the members of each group with each other; each keeps its ``k`` best there
-    and all of its threshold edges."""
+    and all of its threshold edges, but none below ``reach``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(held: list[tuple]) -> pa.RecordBatch:
@@ -105,7 +111,7 @@ def local_join(keys: int, k: int, threshold: float, kind: str):
             a, b = best(sims, k)
             near = sims >= threshold
             near[a, b] = True  # the diagonal is out
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(near & (sims >= reach(threshold)))
             held.append((v[a], v[b], sims[a, b]))
             size += len(a)
             if size >= FLUSH:
