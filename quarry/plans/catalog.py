@@ -1045,7 +1045,26 @@ def j1_cache_key(spark, d):
     return table(spark, d, "documents").select("doc_id", key.alias("key"))
 
 
-@query()
+def _hunt_sql(rounds: int = 5, total: int = 50) -> str:
+    """The rounds of a variant hunt written out, each with its frontier and what was seen before."""
+    parts = [
+        """s AS MATERIALIZED (SELECT a.vec_id AS seed, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)""",
+        "f0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 20 = 0), seen0 AS (SELECT id FROM f0), got0 AS (SELECT 0 AS id, 0 AS variant_of, '' AS status, 0 AS round LIMIT 0)",
+    ]
+    for r in range(1, rounds + 1):
+        p = r - 1
+        parts.append(
+            f"""k{r} AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS k FROM s WHERE sim >= 0.3 AND seed IN (SELECT id FROM f{p}) AND id NOT IN (SELECT id FROM f{p})),
+b{r} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seed) AS q FROM k{r} WHERE k <= 10),
+j{r} AS MATERIALIZED (SELECT id, seed AS variant_of, CASE WHEN label % 2 = 0 THEN 'confirmed' ELSE 'false_positive' END AS status, {r} AS round
+  FROM (SELECT * FROM b{r} WHERE q = 1 AND id NOT IN (SELECT id FROM seen{p}) ORDER BY sim DESC, id LIMIT (SELECT {total} - count(*) FROM got{p})) JOIN embeddings ON vec_id = id),
+f{r} AS (SELECT id FROM j{r} WHERE status = 'confirmed'), seen{r} AS (SELECT id FROM seen{p} UNION ALL SELECT id FROM j{r}), got{r} AS (SELECT * FROM got{p} UNION ALL SELECT * FROM j{r})"""
+        )
+    return "WITH " + ",\n".join(parts) + f" SELECT * FROM got{rounds}"
+
+
+@query(_hunt_sql())
 def j3_variant_hunt(spark, d):
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
