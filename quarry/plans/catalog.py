@@ -17,6 +17,7 @@ from quarry.operators import findings as fo
 from quarry.operators import flow
 from quarry.operators import graph as g
 from quarry.operators import prefilter as pf
+from quarry.operators import summaries as su
 from quarry.operators import vectors as vo
 from quarry.operators.chunking import split_lines
 from quarry.plans import roles, samples
@@ -109,10 +110,8 @@ SELECT source, CASE min(CASE app WHEN 'firmware' THEN 0 WHEN 'binary' THEN 1 WHE
 )
 def a12_app_type(spark, d):
     kinds = {"en": "web", "fr": "mobile", "de": "contract"}
-    docs = table(spark, d, "documents")
     app = F.coalesce(F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.col("lang")], F.lit("binary"))
-    order = F.array_position(F.array(*map(F.lit, seeds.APP_ORDER)), app)
-    return docs.groupBy("source").agg(F.min_by(app, order).alias("app_type"))
+    return su.app_type(table(spark, d, "documents"), "source", app)
 
 
 @query(
@@ -183,7 +182,7 @@ def b6_line_segments(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def b7_chunk_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", su.content_hash(F.col("text")).alias("hash"))
 
 
 @query("SELECT doc_id, source || '::' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS id FROM documents")
@@ -309,7 +308,7 @@ def c13_overlay_merge(spark, d):
 
 @query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup')")
 def c14_status_filter(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").isin("purchase", "signup")).select("event_id")
+    return su.with_status(table(spark, d, "events"), "event_type", ["purchase", "signup"]).select("event_id")
 
 
 @query(
@@ -693,8 +692,7 @@ def f4_data_paths(spark, d):
 
 @query(f"WITH {SQL} SELECT src AS id, count(*) AS n, min(dst) AS first FROM edges WHERE type = 'calls' GROUP BY src")
 def f5_adjacency(spark, d):
-    edges = roles.raw_edges(spark, d).filter("type = 'calls'").select("src", "dst").distinct()
-    return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("first"))
+    return su.adjacency(roles.raw_edges(spark, d), g.CALLS)
 
 
 @query(
@@ -900,22 +898,21 @@ def g11_vector_cache(spark, d):
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
 def h1_by_status(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return su.counts(table(spark, d, "events").withColumnRenamed("event_type", "status"), "status")
 
 
 @query("SELECT count_if(quality = 1 AND toxic = 0) AS confirmed, count_if(toxic = 1) AS conditional, count_if(quality = 0) AS false_positive FROM labels")
 def h2_totals(spark, d):
-    return table(spark, d, "labels").agg(
-        F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("confirmed"), F.count_if(F.col("toxic") == 1).alias("conditional"), F.count_if(F.col("quality") == 0).alias("false_positive")
-    )
+    quality, toxic = F.col("quality"), F.col("toxic")
+    tests = {"confirmed": (quality == 1) & (toxic == 0), "conditional": toxic == 1, "false_positive": quality == 0}
+    return su.totals(table(spark, d, "labels"), tests)
 
 
 @query(
     """SELECT d.source, count(*) AS scoped, count(l.doc_id) AS analysed, count_if(l.quality = 0) AS flagged FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source"""
 )
 def h3_coverage(spark, d):
-    both = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").withColumnRenamed("doc_id", "_l"), F.col("doc_id") == F.col("_l"), "left")
-    return both.groupBy("source").agg(F.count("*").alias("scoped"), F.count("_l").alias("analysed"), F.count_if(F.col("quality") == 0).alias("flagged"))
+    return su.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "source", F.col("quality") == 0)
 
 
 @query(
@@ -940,31 +937,29 @@ def h5_balanced_sample(spark, d):
 
 @query("SELECT role AS model, count(*) AS calls, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY role")
 def h6_usage(spark, d):
-    return table(spark, d, "conversations").groupBy(F.col("role").alias("model")).agg(F.count("*").alias("calls"), F.sum(T.tokens(F.col("text"))).cast("long").alias("tokens"))
+    return su.usage(table(spark, d, "conversations"), "role", "text")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS latency FROM events GROUP BY event_type")
 def h7_latency(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("latency"))
+    return su.latency(table(spark, d, "events"), "event_type", "value")
 
 
 @query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents GROUP BY source")
 def h8_language_sets(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(flat(F.array_sort(F.collect_set("lang"))).alias("languages"))
+    return su.value_sets(table(spark, d, "documents"), "source", "lang", "languages").withColumn("languages", flat("languages"))
 
 
 @query(
     """SELECT substring(string_agg(text, chr(10) ORDER BY length(text) DESC, doc_id), 1, 8000) AS sample FROM (SELECT * FROM documents ORDER BY length(text) DESC, doc_id LIMIT 15)"""
 )
 def h9_longest_sample(spark, d):
-    top = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("n")).orderBy(F.desc("n"), "doc_id").limit(15)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "doc_id", "text"))), lambda x: x["text"])
-    return top.agg(F.substring(F.array_join(ordered, "\n"), 1, 8000).alias("sample"))
+    return su.longest_sample(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 400")
 def h10_inventory(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(400)
+    return su.first_rows(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 400)
 
 
 @query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10)::BIGINT AS batch FROM documents")
@@ -979,7 +974,7 @@ def h12_numbering(spark, d):
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def h13_newest_runs(spark, d):
-    return table(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return su.first_rows(table(spark, d, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 20)
 
 
 @query(
@@ -999,12 +994,12 @@ def h14_layer_union(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def h15_dropped(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return su.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT label AS tier, count(*) AS n, min(vec_id) AS first_task FROM embeddings GROUP BY label")
 def h16_tasks_by_tier(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("tier")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_task"))
+    return su.tasks_by_tier(table(spark, d, "embeddings"), "label", "vec_id")
 
 
 # -- I, K: scalar functions -----------------------------------------------------------
@@ -1280,8 +1275,7 @@ def c16_config_layers(spark, d):
 @query("""SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'go' END AS language, CASE lang WHEN 'en' THEN 4 WHEN 'fr' THEN 2 ELSE 0 END AS sinks FROM documents""")
 def d1_language_join(spark, d):
     named = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "python").when(F.col("lang") == "fr", "go").alias("language"))
-    sizes = seeds.languages(spark).select(F.col("id").alias("language"), F.size("sink_patterns").alias("sinks"))
-    return named.join(F.broadcast(sizes), "language", "left").select("id", "language", F.coalesce("sinks", F.lit(0)).alias("sinks"))
+    return su.sink_counts(named, seeds.languages(spark)).select("id", "language", "sinks")
 
 
 @query(
