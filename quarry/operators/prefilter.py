@@ -46,6 +46,11 @@ def rescue_budget(kept: int, floor: int = 25, fraction: float = 0.1) -> int:
     return max(floor, int(kept * fraction))
 
 
+def in_paths(file: Column, paths: list[str]) -> Column:
+    """Whether a file lies below one of the scoped paths, as a part of its name."""
+    return any_in(file, paths)
+
+
 def union_layers(chunks: DataFrame, layers: list[tuple[str, DataFrame]], key: str = "id") -> DataFrame:
     """Chunks any layer admitted, with the first that did as ``layer``."""
     marks = None
