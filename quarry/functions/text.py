@@ -46,6 +46,14 @@ def secret_categories(c: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(n)) for n, p in SECRETS))))
 
 
+def matches_any(c: Column, patterns: list[str]) -> Column:
+    """Whether a text matches one of the patterns; null matches none. What is unsafe is the caller's to say."""
+    found = F.lit(False)
+    for p in patterns:
+        found = found | c.rlike(p)
+    return F.coalesce(found, F.lit(False))
+
+
 def markdown(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\`*_{}\[\]()#+|<>-])", r"\\$1")
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import call_core, segment_match
-from quarry.functions.vectors import cosine, norm
 from quarry.operators.ranges import running
 
 

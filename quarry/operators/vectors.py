@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import cosine, norm
 from quarry.operators.graph import cut
 
 

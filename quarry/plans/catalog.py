@@ -1213,6 +1213,11 @@ def l8_sarif(spark, d):
     return named(fo.sarif_results(causes), "result").union(named(fo.sarif_rules(causes), "rule"))
 
 
+@query(r"SELECT doc_id, coalesce(regexp_matches(text, '[#*]{3,}') OR regexp_matches(text, '(?i)\bpassword\b'), false) AS unsafe FROM documents")
+def l9_unsafe_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.matches_any(F.col("text"), [r"[#*]{3,}", r"(?i)\bpassword\b"]).alias("unsafe"))
+
+
 @query(
     """SELECT date_trunc('minute', ts) AS window_start, event_type AS model, sum(user_id % 50)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY 1, 2"""
 )

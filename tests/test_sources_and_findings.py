@@ -292,3 +292,10 @@ def test_sources_are_told_apart_and_archives_guarded(spark, tmp_path):
         files.unzip(archive, max_archive=1000).collect()
     with pytest.raises(ValueError):
         files.read_source(spark, "https://x.org/a")
+
+
+def test_pattern_predicate(spark):
+    df = spark.createDataFrame([("a###b",), ("say Password now",), ("passwords",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(T.matches_any(F.col("t"), ["#{3}", r"(?i)\bpassword\b"])).collect()]
+    assert got == [True, True, False, False, False]
+    assert not any(r[0] for r in df.select(T.matches_any(F.col("t"), [])).collect())
