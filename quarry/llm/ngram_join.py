@@ -393,7 +393,6 @@ def linked(
                 for part in slices(unpack(data), 1, 1 << 19):
                     grams, first = gram_sets(part.column(1), n)
                     full = np.flatnonzero(np.diff(first))
-                    size = np.zeros(part.num_rows, np.int64)
                     null = np.ones(part.num_rows, bool)
                     null[full] = False
                     v, w = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
