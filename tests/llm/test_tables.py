@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm import embedding_dedup as near
 from quarry.llm.embedding_dedup import audit, embedding_dedup
-from quarry.llm.html_extract import blocks, covered, decide, extract_main, furniture
+from quarry.llm.html_extract import blocks, covered, decide, extract_main, furniture, suffix_order
 from quarry.llm.mixing import RESERVE, fit, mix_sources, subset_sum, targets
 from quarry.llm.ordinal import Model, Scorer, cuts_of, fit as fit_ordinal, features, grade_texts, likelihood, shape, train, words_of
 from quarry.llm.shards import CommitConflict, Manifest, Shard, ShardStore
@@ -428,6 +428,40 @@ def test_a_rare_notice_goes_from_a_large_host(spark):
         assert not any("cookies" in t or "Log" in t for t in got.values()) and "pair 3" in got[7]
 
 
+def test_a_large_hosts_suffixes_are_ranked_in_order(spark):
+    r = random.Random(21)
+    pages = [(i, i % 2, [" ".join(r.choice("abc") for _ in range(r.randrange(1, 25))) for _ in range(r.randrange(0, 4))]) for i in range(24)]
+    df = spark.createDataFrame(pages, "s long, host long, texts array<string>").repartition(5)
+    for size in (1, 4, 5):
+        begin = {(s, i): (host, t[i : i + size]) for s, host, texts in pages for t in [" \x1f ".join(texts).split(" ") if texts else []] for i in range(len(t) - size + 1)}
+        on = {}
+        for (s, _), b in begin.items():
+            on.setdefault((b[0], *b[1]), set()).add(s)
+        want = {k: (b[0], *b[1]) for k, b in begin.items() if len(on[(b[0], *b[1])]) >= 3}
+        order, short = suffix_order(df, size, 3)
+        got = {(x["s"], x["i"]): x["r"] for x in order.collect()}
+        assert set(got) == set(want)
+        known = sorted({(got[k], b) for k, b in want.items()})
+        assert len({rank for rank, _ in known}) == len({b for _, b in known}) == len(known)
+        assert [b for _, b in known] == sorted(b for _, b in known)
+        held = {}
+        for s, host, texts in pages:
+            for t in texts:
+                held.setdefault((host, t), set()).add(s)
+        stale = {(s, -1 - j) for s, host, texts in pages for j, t in enumerate(texts) if len(t.split()) < size and len(held[host, t]) >= 3}
+        assert {tuple(x) for x in short.select("s", "i").collect()} == stale
+
+
+def test_unique_runs_stay_where_polynomial_hashes_of_words_collide(spark):
+    even = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))  # the Thue-Morse word and its complement
+    odd = even.translate(str.maketrans("ab", "ba"))
+    pages = [(i, f"http://h.org/{i}", f"<p>one two three four five six {x} {y}</p><p>own {i}</p>") for i, (x, y) in enumerate((x, y) for x in (even, odd) for y in (even, odd))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: page[3:-4].replace("</p><p>", "\n\n") for i, _, page in pages}
+    for limit in (1 << 25, 10):
+        assert {r["page_id"]: r["text"] for r in extract_main(df, host_bytes=limit).collect()} == want
+
+
 def test_whole_pages_of_the_table(spark):
     def truth(page):
         inner = page[page.index("<article>") + 9 : page.index("</article>")]
